@@ -60,3 +60,8 @@ def read_settings(spark: SparkSession, *paths: str) -> DataFrame:
         F.regexp_replace(F.regexp_extract(line, r"\A\w+:\s*(.*?)\s*(?:#.*)?\z", 1), r"\A([\"'])(.*)\1\z", "$2").alias("setting"),
     )
     return pairs.groupBy("file").pivot("key", list(SETTINGS_KEYS)).agg(F.first("setting"))
+
+
+def read_run_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """What ``write_run_scores`` wrote; the run name comes from the folder."""
+    return spark.read.schema("bleu double, chrfpp double, geomean double, epoch int, run string").json(folder)

@@ -47,3 +47,8 @@ def write_submission(submission: DataFrame, path: str, order_by: str | None = No
     if single_file:
         rows = rows.coalesce(1)
     write_csv(rows, path, rows_per_file=0 if single_file else CSV_ROWS_PER_FILE)
+
+
+def write_run_scores(scores: DataFrame, folder: str) -> None:
+    """Scores of many runs, one ``run=<name>`` folder each."""
+    scores.write.mode("overwrite").partitionBy("run").json(folder)
