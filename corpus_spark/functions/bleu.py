@@ -43,22 +43,20 @@ def bleu_counts(hyp: Column, ref: Column) -> Column:
     return word_ngram_counts(tokenize_13a(hyp), tokenize_13a(ref), MAX_ORDER)
 
 
-def bleu_score(total: list[Column], correct: list[Column], sys_len: Column, ref_len: Column) -> Column:
-    """BLEU of summed counts, 0 to 100. An order without a match gets 100 / (2^k total), k counting
-    such orders; no match at all, or an order without n-grams, gives 0."""
-    zero, one = F.lit(0.0), F.lit(1.0)
-    log_sum, missed = zero, F.lit(0)
-    for n_total, n_correct in zip(total, correct):
-        missed = missed + F.when(n_correct == 0, 1).otherwise(0)
-        precision = F.when(n_correct > 0, F.try_divide(100.0 * n_correct, n_total)).otherwise(
-            F.try_divide(F.lit(100.0), F.pow(F.lit(2.0), missed) * n_total)
-        )
-        log_sum = log_sum + F.log(precision)
-    brevity = F.when(sys_len >= ref_len, one).otherwise(F.exp(one - F.try_divide(ref_len, sys_len)))
-    no_match = correct[0] == 0
-    for n_correct in correct[1:]:
-        no_match = no_match & (n_correct == 0)
-    short = total[0] == 0
-    for n_total in total[1:]:
-        short = short | (n_total == 0)
-    return F.when(no_match | short, zero).otherwise(brevity * F.exp(log_sum / len(total)))
+def bleu_score(total: list[str], correct: list[str], sys_len: str, ref_len: str) -> Column:
+    """BLEU, 0 to 100, of columns with summed counts, named per order.
+
+    An order without a match gets 100 / (2^k total), k counting such orders; no match at all, or
+    an order without n-grams, gives 0.
+    """
+    logs = []
+    for order, (n_total, n_correct) in enumerate(zip(total, correct)):
+        missed = " + ".join(f"int({name} = 0)" for name in correct[:order + 1])
+        hits = f"IF({n_correct} > 0, double({n_correct}), pow(2D, -({missed})))"
+        logs.append(f"ln(try_divide(100D * {hits}, {n_total}))")
+    brevity = f"least(0D, 1D - try_divide({ref_len}, {sys_len}))"
+    no_match = " AND ".join(f"{name} = 0" for name in correct)
+    short = " OR ".join(f"{name} = 0" for name in total)
+    return F.expr(
+        f"CASE WHEN ({no_match}) OR {short} THEN 0D ELSE exp({brevity} + ({' + '.join(logs)}) / {len(total)}) END"
+    )

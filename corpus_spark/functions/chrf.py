@@ -38,17 +38,17 @@ def chrf_word_counts(hyp: Column, ref: Column) -> Column:
     return word_ngram_counts(split_punctuation(hyp), split_punctuation(ref), WORD_ORDER)
 
 
-def chrf_score(hyp: list[Column], ref: list[Column], match: list[Column]) -> Column:
-    """F-score of summed counts, 0 to 100: precision and recall averaged over the orders both
-    sides have, recall weighted by beta squared."""
-    zero = F.lit(0.0)
-    precision, recall, orders = zero, zero, F.lit(0)
-    for n_hyp, n_ref, n_match in zip(hyp, ref, match):
-        both = (n_hyp > 0) & (n_ref > 0)
-        precision = precision + F.when(both, F.try_divide(n_match, n_hyp)).otherwise(zero)
-        recall = recall + F.when(both, F.try_divide(n_match, n_ref)).otherwise(zero)
-        orders = orders + F.when(both, 1).otherwise(0)
-    precision, recall = F.try_divide(precision, orders), F.try_divide(recall, orders)
-    factor = float(BETA * BETA)
-    score = F.try_divide(100.0 * (1.0 + factor) * precision * recall, factor * precision + recall)
-    return F.coalesce(score, zero)
+def chrf_score(hyp: list[str], ref: list[str], match: list[str]) -> Column:
+    """F-score, 0 to 100, of columns with summed counts, named per order: precision and recall
+    averaged over the orders both sides have, recall weighted by beta squared."""
+    ratios = ", ".join(
+        f"IF({n_hyp} > 0 AND {n_ref} > 0, struct(double({n_match}) / {n_hyp} AS p, double({n_match}) / {n_ref} AS r), NULL)"
+        for n_hyp, n_ref, n_match in zip(hyp, ref, match)
+    )
+    start = "struct(0D AS p, 0D AS r, 0D AS n)"
+    factor = BETA * BETA
+    return F.expr(
+        f"aggregate(filter(array({ratios}), x -> x IS NOT NULL), {start}, "
+        f"(a, x) -> struct(a.p + x.p AS p, a.r + x.r AS r, a.n + 1D AS n), "
+        f"a -> IF(a.p + a.r > 0, 100D * {1 + factor} * a.p * a.r / (a.n * ({factor} * a.p + a.r)), 0D))"
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.source_text import clean_source, clean_target
@@ -13,6 +13,23 @@ SOURCE_CLEAN = "transliteration_clean"
 TARGET_CLEAN = "translation_clean"
 
 
+def with_clean(df: DataFrame, **clean: Column) -> DataFrame:
+    """Add clean columns and keep the rows where none of them is empty.
+
+    The rows come out of a generator over zero or one struct. A plain filter on the new columns
+    would be pushed below them, and every row would be cleaned twice, once to be tested.
+    """
+    row = F.array(F.struct(*[value.alias(name) for name, value in clean.items()]))
+
+    def kept(fields: Column) -> Column:
+        test = F.lit(True)
+        for name in clean:
+            test = test & (F.length(fields[name]) > 0)
+        return test
+
+    return df.select("*", F.inline(F.filter(row, kept)))
+
+
 def clean_parallel(df: DataFrame, observation: Observation | None = None) -> DataFrame:
     """Add both clean columns and keep the rows where neither is empty.
 
@@ -21,19 +38,17 @@ def clean_parallel(df: DataFrame, observation: Observation | None = None) -> Dat
     """
     source = column(require_column(df, *SOURCE_ALIASES))
     target = column(require_column(df, *TARGET_ALIASES))
+    clean = {SOURCE_CLEAN: clean_source(source), TARGET_CLEAN: clean_target(target)}
     if observation is None:
         # A blank raw side cannot become text; dropping it here lets the null tests reach the scan.
-        df = df.filter(has_text(source) & has_text(target))
-    cleaned = df.withColumns({SOURCE_CLEAN: clean_source(source), TARGET_CLEAN: clean_target(target)})
+        return with_clean(df.filter(has_text(source) & has_text(target)), **clean)
     kept = (F.length(SOURCE_CLEAN) > 0) & (F.length(TARGET_CLEAN) > 0)
-    if observation is not None:
-        cleaned = cleaned.observe(
-            observation,
-            F.count(F.lit(1)).alias("rows_in"),
-            F.count_if(kept).alias("rows_kept"),
-            F.count_if(~kept).alias("rows_dropped"),
-        )
-    return cleaned.filter(kept)
+    return df.withColumns(clean).observe(
+        observation,
+        F.count(F.lit(1)).alias("rows_in"),
+        F.count_if(kept).alias("rows_kept"),
+        F.count_if(~kept).alias("rows_dropped"),
+    ).filter(kept)
 
 
 def clean_test(df: DataFrame) -> DataFrame:

@@ -13,10 +13,6 @@ from corpus_spark.operators.columns import PREDICTION_ALIASES, column, require_c
 _FAMILIES = (("word", MAX_ORDER), ("chr", CHAR_ORDER), ("chw", WORD_ORDER))
 
 
-def _cell(family: str, order: int, field: int) -> Column:
-    return F.get(F.col(f"__{family}"), F.lit(3 * order + field))
-
-
 def row_counts(df: DataFrame, hyp: str, ref: str, metrics: tuple[str, ...] = ("bleu", "chrf")) -> DataFrame:
     """Add the count arrays of the asked metrics to each row. Narrow: no shuffle, one Python hop."""
     added = {}
@@ -31,19 +27,18 @@ def row_counts(df: DataFrame, hyp: str, ref: str, metrics: tuple[str, ...] = ("b
 def row_statistics(df: DataFrame, hyp: str, ref: str, metrics: tuple[str, ...] = ("bleu", "chrf")) -> DataFrame:
     """The counts as plain columns, named family, order, field: ``word1_hyp`` ... ``chw2_match``."""
     counted = row_counts(df, hyp, ref, metrics)
-    columns = {}
+    cells = []
     for family, orders in _FAMILIES:
         if f"__{family}" not in counted.columns:
             continue
         for order in range(orders):
-            n_hyp, n_ref, n_match = (_cell(family, order, field) for field in range(3))
+            n_hyp, n_ref, n_match = (f"get(__{family}, {3 * order + field})" for field in range(3))
             if family != "word":
                 # An order the reference has no n-gram of does not count against the prediction.
-                n_hyp = F.when(n_ref > 0, n_hyp).otherwise(F.lit(0))
-            columns[f"{family}{order + 1}_hyp"] = n_hyp.cast("long")
-            columns[f"{family}{order + 1}_ref"] = n_ref
-            columns[f"{family}{order + 1}_match"] = n_match
-    return counted.withColumns(columns).drop(*[f"__{family}" for family, _ in _FAMILIES])
+                n_hyp = f"IF({n_ref} > 0, {n_hyp}, 0L)"
+            name = f"{family}{order + 1}"
+            cells += [f"{n_hyp} AS {name}_hyp", f"{n_ref} AS {name}_ref", f"{n_match} AS {name}_match"]
+    return counted.selectExpr(*[f"`{name}`" for name in df.columns], *cells)
 
 
 def corpus_statistics(
@@ -53,17 +48,17 @@ def corpus_statistics(
     kept = [column(name) for name in dict.fromkeys([*by, hyp, ref])]
     rows = row_statistics(df.select(*kept), hyp, ref, metrics)
     sums = [name for name in rows.columns if name not in {*by, hyp, ref}]
-    return rows.groupBy(*by).agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums])
+    return rows.groupBy(*by).agg(*[F.expr(f"coalesce(sum({name}), 0L) AS {name}") for name in sums])
 
 
-def _series(family: str, orders: int, field: str) -> list[Column]:
-    return [F.col(f"{family}{order + 1}_{field}") for order in range(orders)]
+def _series(family: str, orders: int, field: str) -> list[str]:
+    return [f"{family}{order + 1}_{field}" for order in range(orders)]
 
 
 def summed_bleu() -> Column:
     """BLEU from the summed columns of ``corpus_statistics``."""
     total, correct = _series("word", MAX_ORDER, "hyp"), _series("word", MAX_ORDER, "match")
-    return bleu_score(total, correct, F.col("word1_hyp"), F.col("word1_ref"))
+    return bleu_score(total, correct, "word1_hyp", "word1_ref")
 
 
 def summed_chrf() -> Column:

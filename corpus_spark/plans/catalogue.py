@@ -35,7 +35,7 @@ def clean_source(spark: SparkSession, folder: str) -> DataFrame:
     marked = tables.documents(spark, folder).select(
         "doc_id", "lang", tables.marked_source(F.col("text"), F.col("doc_id")).alias("marked")
     )
-    return marked.select("doc_id", "lang", source_text.clean_source(F.col("marked")).alias("clean")).filter("length(clean) > 0")
+    return corpus.with_clean(marked, clean=source_text.clean_source(F.col("marked"))).drop("marked")
 
 
 @query
@@ -44,7 +44,7 @@ def clean_summary(spark: SparkSession, folder: str) -> DataFrame:
     marked = tables.documents(spark, folder).select(
         "lang", tables.marked_source(F.col("text"), F.col("doc_id")).alias("marked")
     )
-    cleaned = marked.withColumn("clean", source_text.clean_source(F.col("marked"))).filter("length(clean) > 0")
+    cleaned = corpus.with_clean(marked, clean=source_text.clean_source(F.col("marked")))
     return cleaned.groupBy("lang").agg(
         F.count(F.lit(1)).alias("rows_kept"),
         F.sum(F.length("marked") - F.length("clean")).alias("chars_removed"),
@@ -214,38 +214,38 @@ def rendered_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def document_split(spark: SparkSession, folder: str) -> DataFrame:
-    return split.document_split(tables.documents(spark, folder).select("doc_id", "lang"), "doc_id")
+    return split.document_split(tables.table(spark, folder, "documents").select("doc_id", "lang"), "doc_id")
 
 
 @query
 def source_split(spark: SparkSession, folder: str) -> DataFrame:
     """Split by a key many rows share."""
-    return split.document_split(tables.documents(spark, folder).select("doc_id", "source"), "source")
+    return split.document_split(tables.table(spark, folder, "documents").select("doc_id", "source"), "source")
 
 
 @query
 def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = split.document_split(tables.documents(spark, folder).select("source"), "source")
+    labelled = split.document_split(tables.table(spark, folder, "documents").select("source"), "source")
     return split.split_sizes(labelled, "source")
 
 
 @query
 def row_split(spark: SparkSession, folder: str) -> DataFrame:
     """Split by row position, for tables without a document id."""
-    rows = tables.documents(spark, folder).select("doc_id", "lang")
+    rows = tables.table(spark, folder, "documents").select("doc_id", "lang")
     indexed = indexing.with_row_index(rows, F.col("lang"), F.col("doc_id"))
     return split.row_split(indexed, "row_index")
 
 
 @query
 def threshold_split(spark: SparkSession, folder: str) -> DataFrame:
-    return split.threshold_split(tables.documents(spark, folder).select("doc_id", "source"), "doc_id")
+    return split.threshold_split(tables.table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
 
 
 @query
 def split_outputs(spark: SparkSession, folder: str) -> DataFrame:
     """The three data sets of a split, labelled; the small one is a top-k report by design."""
-    labelled = split.document_split(tables.documents(spark, folder).select("doc_id", "source"), "source")
+    labelled = split.document_split(tables.table(spark, folder, "documents").select("doc_id", "source"), "source")
     outputs = split.split_outputs(labelled, split.split_rank(F.col("doc_id")), "doc_id")
     parts = [frame.select("doc_id", F.lit(name).alias("part")) for name, frame in outputs.items()]
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
@@ -254,26 +254,26 @@ def split_outputs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def seeded_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its place in the seeded order."""
-    rows = tables.documents(spark, folder).select("doc_id")
+    rows = tables.table(spark, folder, "documents").select("doc_id")
     return indexing.with_row_index(rows, split.split_rank(F.col("doc_id")), F.col("doc_id"), name="place")
 
 
 @query
 def row_index(spark: SparkSession, folder: str) -> DataFrame:
-    rows = tables.conversations(spark, folder).select("conv_id", "turn", "role")
+    rows = tables.table(spark, folder, "conversations").select("conv_id", "turn", "role")
     return indexing.with_row_index(rows, F.col("conv_id"), F.col("turn"))
 
 
 @query
 def distinct_documents(spark: SparkSession, folder: str) -> DataFrame:
-    return split.distinct_keys(tables.documents(spark, folder), "source")
+    return split.distinct_keys(tables.table(spark, folder, "documents"), "source")
 
 
 @query
 def held_out_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Documents among a set of ids."""
     return split.rows_with_key_in(
-        tables.documents(spark, folder).select("doc_id", "lang"), tables.table(spark, folder, "labels"), "doc_id"
+        tables.table(spark, folder, "documents").select("doc_id", "lang"), tables.table(spark, folder, "labels"), "doc_id"
     )
 
 
@@ -281,7 +281,7 @@ def held_out_rows(spark: SparkSession, folder: str) -> DataFrame:
 def training_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The complement of the same set."""
     return split.rows_with_key_not_in(
-        tables.documents(spark, folder).select("doc_id", "lang"), tables.table(spark, folder, "labels"), "doc_id"
+        tables.table(spark, folder, "documents").select("doc_id", "lang"), tables.table(spark, folder, "labels"), "doc_id"
     )
 
 
@@ -295,12 +295,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 @query
 def bleu_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """13a tokens of markup-rich text."""
-    return tables.table(spark, folder, "pages").select("page_id", bleu.tokenize_13a(F.col("html")).alias("tokens"))
+    return tables.texts(spark, folder, "pages").select("page_id", bleu.tokenize_13a(F.col("html")).alias("tokens"))
 
 
 @query
 def chrf_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.table(spark, folder, "pages").select("page_id", chrf.split_punctuation(F.col("html")).alias("tokens"))
+    return tables.texts(spark, folder, "pages").select("page_id", chrf.split_punctuation(F.col("html")).alias("tokens"))
 
 
 @query
@@ -346,13 +346,23 @@ def evaluate_by_turn(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(score.evaluate(rows, "turn"))
 
 
+def _document_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = generation.postprocess(tables.marked_output(F.col("text")))
+    return tables.documents(spark, folder).select("lang", cleaned.alias("prediction_clean"), F.col("text").alias("reference"))
+
+
 @query
-def evaluate_documents(spark: SparkSession, folder: str) -> DataFrame:
+def document_bleu(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned output of whole documents against the documents, per language."""
-    rows = tables.documents(spark, folder).select(
-        "lang", generation.postprocess(tables.marked_output(F.col("text"))).alias("prediction_clean"), F.col("text").alias("reference")
-    )
-    return _rounded(score.evaluate(rows, "lang"))
+    rows = _document_outputs(spark, folder)
+    sums = score.corpus_statistics(rows, "prediction_clean", "reference", "lang", metrics=("bleu",))
+    return _rounded(sums.select("lang", score.summed_bleu().alias("bleu")))
+
+
+@query
+def evaluate_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """All scores of the same rows."""
+    return _rounded(score.evaluate(_document_outputs(spark, folder), "lang"))
 
 
 @query
@@ -429,7 +439,7 @@ def submission_by_position(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def position_counts(spark: SparkSession, folder: str) -> DataFrame:
-    turns = tables.conversations(spark, folder)
+    turns = tables.table(spark, folder, "conversations")
     return submission.position_counts(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"))
 
 

@@ -138,26 +138,33 @@ def tokens_chrf(text: str) -> str:
     return f"array_to_string(list_transform(string_split({squeezed(f'coalesce({text}, {q('')})')}, ' '), {word}), ' ')"
 
 
-def word_grams(column: str, orders: int, shift: int = 0) -> str:
-    """Rows (side, o, gram) of one text column of joined tokens; ``shift`` keeps families apart."""
-    tokens = f"list_filter(string_split({column}, ' '), lambda w: w <> '')"
-    return " UNION ALL ".join(
-        f"SELECT key, side, {n + shift} AS o, unnest(list_transform(range(1, len(ws) - {n - 2}), "
-        f"lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS gram FROM (SELECT key, side, {tokens} AS ws FROM sides)"
-        for n in range(1, orders + 1)
-    )
+def grams_of(units: str, orders: int, shift: int = 0) -> str:
+    """Rows (key, side, o, gram) of a list of words or characters; ``shift`` keeps families apart.
 
+    Each unit sees its followers through ``lead``, so the work is linear in the text.
+    """
+    numbered = f"SELECT key, side, unnest(us) AS u, generate_subscripts(us, 1) AS i FROM (SELECT key, side, {units} AS us FROM sides)"
+    grams = ["u"]
+    for n in range(1, orders):
+        grams.append(f"{grams[-1]} || ' ' || lead(u, {n}) OVER seq")
+    columns = ", ".join(f"{gram} AS g{n}" for n, gram in enumerate(grams, 1))
+    listed = ", ".join(f"{{'o': {n + shift}, 'gram': g{n}}}" for n in range(1, orders + 1))
+    return f"""SELECT key, side, g.o AS o, g.gram AS gram FROM (
+        SELECT key, side, unnest([{listed}]) AS g FROM (
+            SELECT key, side, {columns} FROM ({numbered}) WINDOW seq AS (PARTITION BY key, side ORDER BY i))
+        ) WHERE g.gram IS NOT NULL"""
 
-def char_grams(column: str, orders: int) -> str:
-    return " UNION ALL ".join(
-        f"SELECT key, side, {n} AS o, unnest(list_transform(range(1, length({column}) - {n - 2}), "
-        f"lambda i: {column}[i:i + {n - 1}])) AS gram FROM sides"
-        for n in range(1, orders + 1)
-    )
+
+def word_list(column: str) -> str:
+    return f"list_filter(string_split({column}, ' '), lambda w: w <> '')"
+
+
+def char_list(column: str) -> str:
+    return f"CASE WHEN {column} = '' THEN [] ELSE string_split({column}, '') END"
 
 
-def gram_ctes(base: str, bleu: bool = True, chrf: bool = True) -> str:
-    """CTEs ending in ``counts(key, o, n_hyp, n_ref, n_match)`` for ``base``, a query of ``key, hyp, ref``.
+def gram_ctes(pairs: str, bleu: bool = True, chrf: bool = True) -> str:
+    """CTEs ending in ``counts(key, o, n_hyp, n_ref, n_match)`` for ``pairs``, a query of ``key, hyp, ref``.
 
     Orders 1 to 4 are BLEU words, 11 to 16 chrF characters, 21 and 22 chrF words.
     """
@@ -165,17 +172,17 @@ def gram_ctes(base: str, bleu: bool = True, chrf: bool = True) -> str:
     texts = []
     if bleu:
         texts.append(f"{tokens_13a('text')} AS toks")
-        families.append(word_grams("toks", 4))
+        families.append(grams_of(word_list("toks"), 4))
     if chrf:
         squashed = sub("text", WS + "+", "")
         texts.append(f"{squashed} AS chars, {tokens_chrf('text')} AS words")
-        families.append(f"SELECT key, side, o + 10 AS o, gram FROM ({char_grams('chars', 6)})")
-        families.append(word_grams("words", 2, 20))
+        families.append(grams_of(char_list("chars"), 6, 10))
+        families.append(grams_of(word_list("words"), 2, 20))
     orders = [*(range(1, 5) if bleu else ()), *((11, 12, 13, 14, 15, 16, 21, 22) if chrf else ())]
-    return f"""base AS ({base}),
+    return f"""pairs AS ({pairs}),
     sides AS (
         SELECT key, side, {', '.join(texts)} FROM (
-            SELECT key, 'h' AS side, hyp AS text FROM base UNION ALL SELECT key, 'r', ref FROM base)
+            SELECT key, 'h' AS side, hyp AS text FROM pairs UNION ALL SELECT key, 'r', ref FROM pairs)
     ),
     grams AS ({' UNION ALL '.join(families)}),
     per_gram AS (
@@ -186,7 +193,7 @@ def gram_ctes(base: str, bleu: bool = True, chrf: bool = True) -> str:
     counts AS (
         SELECT key, o, CASE WHEN o > 10 AND coalesce(r, 0) = 0 THEN 0 ELSE coalesce(h, 0) END::BIGINT AS n_hyp,
                coalesce(r, 0)::BIGINT AS n_ref, coalesce(m, 0)::BIGINT AS n_match
-        FROM (SELECT key, unnest({orders}) AS o FROM base) LEFT JOIN found USING (key, o)
+        FROM (SELECT key, unnest({orders}) AS o FROM pairs) LEFT JOIN found USING (key, o)
     )"""
 
 
@@ -201,8 +208,9 @@ def statistics(base: str, bleu: bool, chrf: bool) -> str:
     return f"WITH {gram_ctes(base, bleu, chrf)} SELECT key // 100 AS conv_id, key % 100 AS turn, {cells} FROM counts GROUP BY key"
 
 
-def scores(base: str, groups: str = "", bleu: bool = True, chrf: bool = True) -> str:
-    """Rounded scores per group; ``base`` also has the group columns, one value per key."""
+def scores(base: str, groups: str = "", bleu: bool = True, chrf: bool = True, first: str = "") -> str:
+    """Rounded scores per group; ``base`` also has the group columns, one value per key. ``first``
+    holds CTEs that ``base`` reads."""
     by = f"{groups}, " if groups else ""
     group_by = f"GROUP BY {groups}, o" if groups else "GROUP BY o"
     last = f"GROUP BY {groups}" if groups else ""
@@ -220,10 +228,10 @@ def scores(base: str, groups: str = "", bleu: bool = True, chrf: bool = True) ->
     shown = [f"round({name}, 6) AS {name}" for name, wanted in (("bleu", bleu), ("chrfpp", chrf)) if wanted]
     if bleu and chrf:
         shown.append("round(CASE WHEN bleu > 0 AND chrfpp > 0 THEN sqrt(bleu * chrfpp) ELSE 0.0 END, 6) AS geomean")
-    return f"""WITH {gram_ctes(base, bleu, chrf)},
+    return f"""WITH {first + ',' if first else ''} {gram_ctes(base, bleu, chrf)},
     summed AS (
         SELECT {by}o, sum(n_hyp)::DOUBLE AS h, sum(n_ref)::DOUBLE AS r, sum(n_match)::DOUBLE AS m
-        FROM counts JOIN base USING (key) {group_by}
+        FROM counts JOIN pairs USING (key) {group_by}
     ),
     logs AS (SELECT *, CASE WHEN h = 0 OR o > 4 THEN NULL WHEN m > 0 THEN ln(100 * m / h) ELSE ln(100 / ({missed} * h)) END AS lp FROM summed),
     scored AS (SELECT {by}{', '.join(out)} FROM logs {last})
@@ -236,6 +244,8 @@ BLANKED = f"""SELECT conv_id * 100 + turn AS key, turn,
     coalesce({some_blank('target', 'length(target)')}, '') AS ref FROM ({PAIRS})"""
 RUN_PREDICTIONS = f"""SELECT conv_id * 100 + turn AS key, source AS hyp, target AS ref,
     'model_r' || (2 ^ (conv_id % 4 + 3))::INT || '-a32_lr1e-4_ep4' AS run, (turn // 2)::INT AS epoch FROM ({PAIRS})"""
+DOCUMENT_OUTPUTS = """SELECT id AS key, CASE WHEN clean = '' THEN '...' ELSE clean END AS hyp, text AS ref, lang
+    FROM collapsed JOIN documents ON doc_id = id"""
 EPOCH_SCORES = scores(RUN_PREDICTIONS, "run, epoch")
 LAST_SCORES = f"""SELECT run, arg_max(bleu, epoch) AS bleu, arg_max(chrfpp, epoch) AS chrfpp,
     arg_max(geomean, epoch) AS geomean, max(epoch) AS epoch FROM ({EPOCH_SCORES}) GROUP BY run"""
@@ -327,8 +337,8 @@ def oracle_statements() -> dict[str, str]:
         "corpus_chrf": scores(PREDICTIONS, bleu=False),
         "evaluate": scores(PREDICTIONS),
         "evaluate_by_turn": scores(BLANKED, "turn"),
-        "evaluate_documents": f"WITH {collapsed(docs_output)} "
-        + scores(f"SELECT id AS key, {default} AS hyp, text AS ref, lang FROM collapsed JOIN documents ON doc_id = id", "lang").replace("WITH base", ", base_scores", 1).replace("FROM base", "FROM base_scores").replace("JOIN base", "JOIN base_scores"),
+        "document_bleu": scores(DOCUMENT_OUTPUTS, "lang", chrf=False, first=collapsed(docs_output)),
+        "evaluate_documents": scores(DOCUMENT_OUTPUTS, "lang", first=collapsed(docs_output)),
         "epoch_scores": EPOCH_SCORES,
         "last_epoch_scores": LAST_SCORES,
         "length_batches": """SELECT doc_id, batch_pos, batch_pos // 8 AS batch_id FROM (

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -54,23 +56,28 @@ def some_blank(text: Column, size: Column) -> Column:
     return F.when(size % 11 == 0, F.lit(" \t")).when(size % 13 != 0, text)
 
 
+def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table whose text columns are about to be worked on."""
+    return spread(table(spark, folder, name))
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return texts(spark, folder, "documents")
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "conversations")
+    return texts(spark, folder, "conversations")
 
 
 def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Each user turn with the assistant turn after it. The join key is the turn, not the
     conversation, so a long conversation spreads over the partitions."""
-    turns = conversations(spark, folder)
+    turns = table(spark, folder, "conversations")
     asked = turns.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source"))
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target")
     )
-    return asked.join(answered, ["conv_id", "turn"])
+    return spread(asked).join(answered, ["conv_id", "turn"])
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

@@ -55,3 +55,14 @@ def staged(df: DataFrame) -> DataFrame:
     """
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt over all cores; a large one as it is.
+
+    A table of one row group, or a multi-line CSV file, is one task whatever its size. Where the
+    input has fewer splits than two per core it is at most that many splits large, so dealing its
+    rows costs little; beyond that the splits keep the cluster busy and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
