@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from corpus_spark.functions.chat import CHAT_SCHEMA
 from corpus_spark.operators.columns import column
 
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# The null token is one no text holds, so a quoted empty field stays an empty text and only an
+# unquoted one is null.
+_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\u0000"}
 
 # The keys of a run's settings file.
 SETTINGS_KEYS = (
