@@ -19,47 +19,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 FIELDS = ("hyp", "ref", "match")
-_CHUNK_BYTES = 4 << 20
+# Working arrays of a chunk fit the processor cache; larger chunks are slower.
+_CHUNK_BYTES = 1 << 17
+_KEY_BITS = 63
 
 
 def _clipped(ids: np.ndarray, hyp_len: np.ndarray, ref_len: np.ndarray, orders: int) -> np.ndarray:
-    """Counts of shape (rows, orders, 3) for token ids of all left texts followed by all right texts.
+    """Counts of shape (rows, orders, 3) for token ids, from 1 up, of all left texts followed by all right texts.
 
-    An n-gram gets its number from the number of its (n-1)-gram and its last token; numbers are
-    private to a row from the start. An n-gram shared by both sides starts with a shared
-    (n-1)-gram, so positions that are not shared any more drop out.
+    Every position becomes one integer: its row, the next tokens as digits (0 past the end of the
+    text), and its side in the last bit. In sorted order equal n-grams are runs for every n at
+    once, so one sort serves as many orders as digits fit. When an alphabet is too large for that,
+    the runs are numbered and the next sort goes on from those numbers.
     """
     rows = len(hyp_len)
     lengths = np.concatenate([hyp_len, ref_len])
     at = np.arange(len(ids))
+    ends = np.repeat(np.cumsum(lengths), lengths)
     owner = np.repeat(np.tile(np.arange(rows), 2), lengths)
-    remaining = np.repeat(np.cumsum(lengths), lengths) - at
     from_ref = at >= hyp_len.sum()
-    width = int(ids.max(initial=0)) + 1
+    digit_bits = int(ids.max(initial=1)).bit_length()
     counts = np.zeros((rows, orders, len(FIELDS)), dtype=np.int64)
-    gram = owner
     for order in range(orders):
         counts[:, order, 0] = np.maximum(hyp_len - order, 0)
         counts[:, order, 1] = np.maximum(ref_len - order, 0)
-        fits = remaining[at] > order
-        at, gram = at[fits], gram[fits]
-        if not len(at):
-            continue
-        distinct, gram = np.unique(gram * width + ids[at + order], return_inverse=True)
-        ref = np.bincount(gram[from_ref[at]], minlength=len(distinct))
-        shared = np.minimum(np.bincount(gram, minlength=len(distinct)) - ref, ref)
-        row_of = np.empty(len(distinct), dtype=np.int64)
-        row_of[gram] = owner[at]
-        counts[:, order, 2] = np.bincount(row_of, weights=shared, minlength=rows)
-        alive = shared[gram] > 0
-        at, gram = at[alive], gram[alive]
+    prefix, row_of_prefix, done = owner, np.arange(rows), 0
+    while done < orders and len(at):
+        room = (_KEY_BITS - 1 - len(row_of_prefix).bit_length()) // digit_bits
+        take = min(max(room, 1), orders - done)
+        key = prefix
+        for step in range(done, done + take):
+            there = at + step
+            inside = there < ends[at]
+            key = (key << digit_bits) | np.where(inside, ids[np.where(inside, there, 0)], 0)
+        key = (key << 1) | from_ref[at]
+        last = done + take == orders
+        place = None if last else np.argsort(key, kind="stable")
+        key = np.sort(key) if last else key[place]
+        ref_before = np.concatenate([[0], np.cumsum(key & 1)])
+        for step in range(1, take + 1):
+            gram = key >> (1 + digit_bits * (take - step))
+            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            stops = np.append(starts[1:], len(key))
+            ref = ref_before[stops] - ref_before[starts]
+            shared = np.minimum(stops - starts - ref, ref)
+            shared[(gram[starts] & ((1 << digit_bits) - 1)) == 0] = 0
+            row = row_of_prefix[gram[starts] >> (digit_bits * step)]
+            counts[:, done + step - 1, 2] = np.bincount(row, weights=shared, minlength=rows)
+        if not last:
+            # Longer n-grams are shared only where these are.
+            alive = np.repeat(shared > 0, stops - starts)
+            at = at[place[alive]]
+            prefix = np.repeat(np.cumsum(shared > 0) - 1, stops - starts)[alive]
+            row_of_prefix = row[shared > 0]
+        done += take
     return counts
 
 
-def _char_ids(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
-    joined = "".join(texts.to_pylist())
-    return np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64), lengths
+def _char_ids(hyp: pa.Array, ref: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of both sides, renumbered from 1 without gaps, and the text lengths."""
+    joined = "".join(hyp.to_pylist()) + "".join(ref.to_pylist())
+    points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+    used = np.zeros(int(points.max(initial=0)) + 1, dtype=np.int64)
+    used[points] = 1
+    return np.cumsum(used)[points], *(pc.utf8_length(side).to_numpy().astype(np.int64) for side in (hyp, ref))
 
 
 def _word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -70,19 +93,27 @@ def _word_lists(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return tokens.filter(pc.not_equal(tokens, "")), lengths
 
 
+def _word_ids(hyp: pa.Array, ref: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of both sides, numbered from 1 within their row so that the numbers stay small."""
+    (hyp_words, hyp_len), (ref_words, ref_len) = _word_lists(hyp), _word_lists(ref)
+    words = pa.concat_arrays([hyp_words, ref_words]).dictionary_encode()
+    rows, width = len(hyp), len(words.dictionary) + 1
+    owner = np.repeat(np.tile(np.arange(rows), 2), np.concatenate([hyp_len, ref_len]))
+    distinct, ids = np.unique(owner * width + words.indices.to_numpy(), return_inverse=True)
+    first = np.searchsorted(distinct, np.arange(rows) * width)
+    return ids - first[owner] + 1, hyp_len, ref_len
+
+
 def _char_counts(hyp: pa.Array, ref: pa.Array, orders: int) -> np.ndarray:
-    (hyp_ids, hyp_len), (ref_ids, ref_len) = _char_ids(hyp), _char_ids(ref)
-    return _clipped(np.concatenate([hyp_ids, ref_ids]), hyp_len, ref_len, orders)
+    return _clipped(*_char_ids(hyp, ref), orders)
 
 
 def _word_counts(hyp: pa.Array, ref: pa.Array, orders: int) -> np.ndarray:
-    (hyp_words, hyp_len), (ref_words, ref_len) = _word_lists(hyp), _word_lists(ref)
-    ids = pa.concat_arrays([hyp_words, ref_words]).dictionary_encode().indices
-    return _clipped(ids.to_numpy(zero_copy_only=False).astype(np.int64), hyp_len, ref_len, orders)
+    return _clipped(*_word_ids(hyp, ref), orders)
 
 
 def _chunks(hyp: pa.Array, ref: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Row slices of a few megabytes, so the working arrays stay small whatever Arrow hands over."""
+    """Row slices of bounded size, whatever Arrow hands over; a longer text is a slice of its own."""
     size = np.cumsum(
         pc.binary_length(hyp).to_numpy(zero_copy_only=False).astype(np.int64)
         + pc.binary_length(ref).to_numpy(zero_copy_only=False)

@@ -9,15 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Code points that NFC never changes and that never join a neighbour: Latin up to U+02FF, Latin
-# Extended Additional, and the punctuation, sub- and superscript blocks up to the currency signs.
-# A text made of these alone is already in NFC (the tests walk the whole range).
-STABLE = r"\x00-\x{2ff}\x{1e00}-\x{1eff}\x{2002}-\x{20cf}"
+# All code points but those NFC never changes and that never join a neighbour: Latin up to U+02FF,
+# Latin Extended Additional, and the punctuation, sub- and superscript blocks up to the currency
+# signs. A text without a code point of this class is in NFC (the tests walk the blocks left out).
+# Written as ranges, not as a negated class, which Java's matcher takes ten times as long over.
+UNSTABLE = r"[\x{300}-\x{1dff}\x{1f00}-\x{2001}\x{20d0}-\x{10ffff}]"
 
 
 def needs_nfc(text: Column) -> Column:
     """True where a text holds a character outside the blocks NFC leaves alone."""
-    return text.rlike(f"[^{STABLE}]")
+    return text.rlike(UNSTABLE)
 
 
 @F.arrow_udf(StringType())

@@ -112,13 +112,16 @@ def test_counts_over_chunk_borders(spark, monkeypatch):
     hyp = ["".join(pick.choice("aéb\U0001f600 ") for _ in range(pick.randint(0, 50))) for _ in range(80)]
     ref = ["".join(pick.choice("aéb\U0001f600 ") for _ in range(pick.randint(0, 50))) for _ in range(80)]
     expected = [[value for order in range(1, 7) for value in ngram_counts(h, r, order)] for h, r in zip(hyp, ref)]
-    for size in (1, 64, 1 << 20):
+    for size, bits in ((1, 63), (64, 63), (1 << 20, 63), (1 << 20, 20), (1 << 20, 14), (1 << 20, 8)):
         monkeypatch.setattr(ngrams, "_CHUNK_BYTES", size)
+        monkeypatch.setattr(ngrams, "_KEY_BITS", bits)
         parts = [ngrams._char_counts(*chunk, 6) for chunk in ngrams._chunks(pa.array(hyp), pa.array(ref))]
         assert np.concatenate(parts).reshape(80, -1).tolist() == expected
     words = [" ".join(text.split()) for text in hyp], [" ".join(text.split()) for text in ref]
     expected = [[value for order in range(1, 5) for value in ngram_counts(h.split(), r.split(), order)] for h, r in zip(*words)]
-    assert ngrams._word_counts(pa.array(words[0]), pa.array(words[1]), 4).reshape(80, -1).tolist() == expected
+    for bits in (63, 16, 9):
+        monkeypatch.setattr(ngrams, "_KEY_BITS", bits)
+        assert ngrams._word_counts(pa.array(words[0]), pa.array(words[1]), 4).reshape(80, -1).tolist() == expected
 
 
 def test_driver_pairs_match_plain(spark, small_dir):
