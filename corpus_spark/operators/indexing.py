@@ -46,11 +46,11 @@ def sort_by_length(df: DataFrame, text: str, *tie: str) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def length_batches(df: DataFrame, text: str, *tie: str, batch_size: int = 8) -> DataFrame:
+def length_batches(df: DataFrame, length: Column, *tie: str, batch_size: int = 8) -> DataFrame:
     """Exact micro-batches: ``batch_pos`` is the position in global length order, ``batch_id`` its
-    group of ``batch_size``."""
-    order = [F.length(text), *[F.col(name) for name in tie]]
-    indexed = with_row_index(df, *order, name="batch_pos")
+    group of ``batch_size``. All columns of the frame are staged, so hand in the length and the ids
+    rather than the texts where the texts are not needed."""
+    indexed = with_row_index(df, length, *[F.col(name) for name in tie], name="batch_pos")
     return indexed.withColumn("batch_id", F.floor(F.col("batch_pos") / batch_size))
 
 

@@ -30,9 +30,10 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(column(key).alias(key)).distinct()
 
 
-def seeded_shuffle(df: DataFrame, key: str, seed: int = SEED) -> DataFrame:
-    """Rows in seeded order; the key should be unique per row or per document."""
-    return df.orderBy(split_rank(column(key), seed), column(key))
+def seeded_shuffle(df: DataFrame, key: str, *tie: str, seed: int = SEED) -> DataFrame:
+    """Rows in seeded order of a key. Where many rows share a key, the tie columns order them and
+    let the sort cut a hot key into several ranges."""
+    return df.orderBy(split_rank(column(key), seed), column(key), *[column(name) for name in tie])
 
 
 def held_out_cutoff(ranks: DataFrame, fraction: float = VAL_FRACTION) -> DataFrame:
@@ -121,13 +122,16 @@ def split_sizes(labelled: DataFrame, key: str) -> DataFrame:
 
 
 def rows_with_key_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is among ``keys``; null matches null. AQE broadcasts small key sets and splits
-    skewed keys of the left side; the key side is not aggregated first, which would block that."""
-    right = keys.select(column(key).alias("__key"))
+    """Rows whose key is among ``keys``; null matches null.
+
+    The key set is made distinct first, so a key repeated there is collapsed before it moves; a key
+    repeated on the left is what AQE splits. Spark broadcasts the set when its size allows.
+    """
+    right = keys.select(column(key).alias("__key")).distinct()
     return df.join(right, column(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def rows_with_key_not_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The complement of ``rows_with_key_in``."""
-    right = keys.select(column(key).alias("__key"))
+    right = keys.select(column(key).alias("__key")).distinct()
     return df.join(right, column(key).eqNullSafe(F.col("__key")), "left_anti")

@@ -382,8 +382,8 @@ def last_epoch_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def length_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Exact length-sorted micro-batches."""
-    rows = tables.documents(spark, folder).select("doc_id", "text")
-    return indexing.length_batches(rows, "text", "doc_id").select("doc_id", "batch_pos", "batch_id")
+    rows = tables.table(spark, folder, "documents").select("doc_id", F.length("text").alias("length"))
+    return indexing.length_batches(rows, F.col("length"), "doc_id").drop("length")
 
 
 @query

@@ -114,7 +114,7 @@ def test_row_index_without_an_order_keeps_partition_order(spark):
 def test_length_batches(spark):
     texts = [("x" * (place * 7 % 11), place) for place in range(100)]
     rows = spark.createDataFrame(texts, "text string, pos int").repartition(5)
-    batched = indexing.length_batches(rows, "text", "pos", batch_size=8).collect()
+    batched = indexing.length_batches(rows, F.length("text"), "pos", batch_size=8).collect()
     expected = sorted(texts, key=lambda row: (len(row[0]), row[1]))
     assert [(row.text, row.pos) for row in sorted(batched, key=lambda row: row.batch_pos)] == expected
     assert all(row.batch_id == row.batch_pos // 8 for row in batched)
@@ -126,3 +126,28 @@ def test_sort_by_length_and_restore(spark):
     assert by_length == sorted(by_length)
     restored = indexing.restore_order(indexing.sort_by_length(rows, "text", "pos"), "pos")
     assert [row.pos for row in restored.collect()] == list(range(10))
+
+
+@pytest.mark.parametrize("function, expected", [(split.rows_with_key_in, 20000), (split.rows_with_key_not_in, 40000)])
+def test_hot_keys_of_a_membership_join_are_split(spark, function, expected):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string"))
+        rows = spark.range(60000).select(key.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        keys = spark.range(3000).select(F.lit("hot").alias("k"))
+        found = function(rows.repartition(8), keys, "k").agg(F.count("payload"), F.max("payload"))
+        assert found.collect()[0][0] == expected
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
