@@ -19,7 +19,10 @@ def run_name(
     model_name: Column, rank: Column | None = None, alpha: Column | None = None,
     lr: Column | None = None, epochs: Column | None = None,
 ) -> Column:
-    """``<model>_r<rank>-a<alpha>_lr<lr>_ep<epochs>``, with defaults for what is missing or null."""
+    """``<model>_r<rank>-a<alpha>_lr<lr>_ep<epochs>``, with defaults for what is missing or null.
+
+    Hand in a learning rate as it is written in the settings file, as text: ``2e-4`` stays ``2e-4``.
+    """
 
     def part(label: str, value: Column | None, default: str) -> list[Column]:
         known = F.lit(default) if value is None else F.coalesce(value.cast("string"), F.lit(default))

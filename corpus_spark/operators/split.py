@@ -6,6 +6,8 @@ partitioning, any engine and any re-run give the same split.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,6 +90,8 @@ def row_split(df: DataFrame, key: str | None = None, fraction: float = VAL_FRACT
 def auto_split(df: DataFrame, fraction: float = VAL_FRACTION, seed: int = SEED) -> DataFrame:
     """By document id where the frame has one, else by row."""
     key = find_column(df, *SPLIT_KEY_ALIASES)
+    if key is None:
+        warnings.warn("No document id column: rows are split one by one", stacklevel=2)
     return document_split(df, key, fraction, seed) if key else row_split(df, None, fraction, seed)
 
 

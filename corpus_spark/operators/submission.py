@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ def with_submission_id(test: DataFrame) -> DataFrame:
     """The test table with its ``id``: the id column, else the text id, else the row position."""
     name = find_column(test, *SUBMISSION_ID_ALIASES)
     if name is None:
+        warnings.warn(f"No id column among {test.columns}: the row position is the id", stacklevel=2)
         return with_row_index(test, name="id")
     return test if name == "id" else test.withColumn("id", column(name))
 

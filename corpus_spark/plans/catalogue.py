@@ -11,7 +11,7 @@ from corpus_spark.functions import bleu, chat, chrf, generation, source_text, te
 from corpus_spark.operators import columns, corpus, indexing, predict, runs, score, split, submission
 from corpus_spark.plans import tables
 from corpus_spark.session import scratch_path
-from corpus_spark.sources import readers, writers
+from corpus_spark.sources import paths, readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -365,6 +365,17 @@ def evaluate_documents(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(score.evaluate(_document_outputs(spark, folder), "lang"))
 
 
+@query
+def evaluate_newest(spark: SparkSession, folder: str) -> DataFrame:
+    """Two prediction files written one after the other; the newer one is found and scored."""
+    place = scratch_path(spark, "predictions")
+    rows = tables.predictions(spark, folder)
+    worse = rows.withColumn("prediction", F.upper("prediction"))
+    writers.write_csv(worse, f"{place}/{paths.prediction_name('val', with_adapter=False)}")
+    writers.write_csv(rows, f"{place}/{paths.prediction_name('val')}")
+    return _rounded(score.evaluate(readers.read_csv(spark, paths.prediction_input(spark, place, "val"))))
+
+
 @query
 def epoch_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Scores per run and epoch."""
@@ -443,6 +454,13 @@ def position_counts(spark: SparkSession, folder: str) -> DataFrame:
     return submission.position_counts(turns.filter("role = 'user'"), turns.filter("role = 'assistant'"))
 
 
+@query
+def translate_and_submit(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw test rows to submission in one plan: clean, translate, clean the output, name the id."""
+    raw = _raw_pairs(spark, folder).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "Source")
+    return submission.submission(predict.translate_test(corpus.clean_test(raw), LOOKUP))
+
+
 # --- runs ---------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,34 @@ from corpus_spark.plans.tables import LINE_LABELS, OUTPUT_MARKS, SOURCE_MARKS
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+# The source cleaning rules in their order, as RE2 patterns.
+SOURCE_RULES = (
+    ("Ḫ", "H"),
+    ("ḫ", "h"),
+    ("[˹˺]", ""),
+    (r"<<.*?>>", ""),
+    (r"<(.*?)>", r"\1"),
+    (rf"\[\.\.\.{WS}*\.\.\.?\]", "<big_gap>"),
+    (rf"\[x(?:{WS}+x)*\]", "<gap>"),
+    (r"\[(.*?)\]", r"\1"),
+    ("[!?]", ""),
+    (f"{WS}*/{WS}*", " "),
+    (f"{WS}*:{WS}*", " "),
+    *((f"[{subscript}{superscript}]", digit) for subscript, superscript, digit in zip("₀₁₂₃₄₅₆₇₈₉", "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")),
+)
+LINE_NUMBER = rf"^(?:(?:o|r|rev|obv|lo\.?e\.?|u\.?e\.?)\.?{WS}+)?\p{{Nd}}+['′]?\.{WS}*"
+# The public 13a tokenization, first literal replacements and then patterns.
+TOKEN_MARKS = (
+    ("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
+)
+TOKEN_RULES = (
+    (r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "),
+    (r"([^0-9])([\.,])", r"\1 \2 "),
+    (r"([\.,])([^0-9])", r" \1 \2"),
+    (r"([0-9])(-)", r"\1 \2 "),
+)
+
+
 def q(value: str) -> str:
     """A SQL text literal."""
     return "'" + value.replace("'", "''") + "'"
@@ -44,17 +72,9 @@ def some_blank(text: str, size: str) -> str:
 
 def cleaned_source(text: str) -> str:
     value = f"nfc_normalize(coalesce({text}, ''))"
-    value = f"translate({value}, 'Ḫḫ˹˺', 'Hh')"
-    value = sub(value, r"<<.*?>>", "")
-    value = sub(value, r"<(.*?)>", r"\1")
-    value = sub(value, rf"\[\.\.\.{WS}*\.\.\.?\]", "<big_gap>")
-    value = sub(value, rf"\[x(?:{WS}+x)*\]", "<gap>")
-    value = sub(value, r"\[(.*?)\]", r"\1")
-    value = f"translate({value}, '!?', '')"
-    value = sub(sub(value, rf"{WS}*/{WS}*", " "), rf"{WS}*:{WS}*", " ")
-    value = f"translate({value}, '₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹', '01234567890123456789')"
-    number = rf"^(?:(?:o|r|rev|obv|lo\.?e\.?|u\.?e\.?)\.?{WS}+)?\p{{Nd}}+['′]?\.{WS}*"
-    return squeezed(f"regexp_replace({value}, {q(number)}, '')")
+    for pattern, put in SOURCE_RULES:
+        value = sub(value, pattern, put)
+    return squeezed(f"regexp_replace({value}, {q(LINE_NUMBER)}, '')")
 
 
 def cleaned_target(text: str) -> str:
@@ -118,14 +138,9 @@ RAW_PAIRS = f"""
 
 def tokens_13a(text: str) -> str:
     value = f"regexp_replace(coalesce({text}, ''), {q(WS + '+$')}, '')"
-    marks = (
-        ("<skipped>", ""), ("-\n", ""), ("\n", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
-    )
-    value = f"(' ' || {replaced(value, marks)} || ' ')"
-    value = sub(value, r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ")
-    value = sub(value, r"([^0-9])([\.,])", r"\1 \2 ")
-    value = sub(value, r"([\.,])([^0-9])", r" \1 \2")
-    value = sub(value, r"([0-9])(-)", r"\1 \2 ")
+    value = f"(' ' || {replaced(value, TOKEN_MARKS)} || ' ')"
+    for pattern, put in TOKEN_RULES:
+        value = sub(value, pattern, put)
     return squeezed(value)
 
 
@@ -336,6 +351,7 @@ def oracle_statements() -> dict[str, str]:
         "corpus_bleu": scores(PREDICTIONS, chrf=False),
         "corpus_chrf": scores(PREDICTIONS, bleu=False),
         "evaluate": scores(PREDICTIONS),
+        "evaluate_newest": scores(PREDICTIONS),
         "evaluate_by_turn": scores(BLANKED, "turn"),
         "document_bleu": scores(DOCUMENT_OUTPUTS, "lang", chrf=False, first=collapsed(docs_output)),
         "evaluate_documents": scores(DOCUMENT_OUTPUTS, "lang", first=collapsed(docs_output)),
@@ -359,6 +375,10 @@ def oracle_statements() -> dict[str, str]:
             test AS (SELECT conv_id * 100 + turn AS id, row_number() OVER (ORDER BY conv_id * 100 + turn) AS place
                      FROM conversations WHERE role = 'user')
             SELECT test.id, {default} AS translation FROM test JOIN collapsed ON collapsed.id = test.place""",
+        "translate_and_submit": f"""WITH {collapsed(f'''SELECT conv_id * 100 + turn AS id,
+            CASE WHEN clean = '' THEN '...' ELSE {stripped_output(looked_up('clean'))} END AS text
+            FROM (SELECT conv_id, turn, {cleaned_source('source')} AS clean FROM ({RAW_PAIRS}))''')}
+            SELECT id, {default} AS translation FROM collapsed""",
         "position_counts": """SELECT test_rows, prediction_rows, test_rows = prediction_rows AS same FROM (
             SELECT count(*) FILTER (role = 'user') AS test_rows, count(*) FILTER (role = 'assistant') AS prediction_rows FROM conversations)""",
         "run_names": """SELECT p_partkey, lower(p_name) || '_r' || coalesce((CASE WHEN p_size % 5 <> 0 THEN p_size END)::VARCHAR, '32')

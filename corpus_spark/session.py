@@ -60,7 +60,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input dealt over all cores; a large one as it is.
+    """A small input, straight from its source, dealt over all cores; a large one as it is.
 
     A table of one row group, or a multi-line CSV file, is one task whatever its size. Where the
     input has fewer splits than two per core it is at most that many splits large, so dealing its

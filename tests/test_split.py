@@ -54,7 +54,8 @@ def test_documents_stay_out_of_shuffles(spark):
 
 def test_row_split_without_a_key(spark):
     rows = spark.createDataFrame([("same",)] * 95, "text string").repartition(4)
-    labelled = split.auto_split(rows)
+    with pytest.warns(UserWarning, match="one by one"):
+        labelled = split.auto_split(rows)
     counts = {row.split: row["count"] for row in labelled.groupBy("split").count().collect()}
     assert counts == {"val": 9, "train": 86}
     assert labelled.columns == ["text", "split"]
