@@ -22,6 +22,8 @@ def build_session(app_name: str = "corpus_spark", master: str | None = None, **c
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Batches to Python are bounded by size as well as by rows, for tables of long texts.
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         # Plans are built by library code; recording the Python line of every expression is slow.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
