@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import byte_bpe, token_counts
+from corpus_spark.llm import byte_bpe, decontaminate, line_dedup, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,25 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(
+        table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark").select("item_id", "text")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
+
+
 def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = byte_bpe.encode_texts(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     return byte_bpe.decode_ids(encoded).select(
@@ -32,8 +51,81 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, table(spark, folder, "labels").select("doc_id", "toxic"))
+    scored = toxicity.toxicity(documents, model, score="score")
+    return scored.select(
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
+}
+
+WORDS_SQL = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION_SQL = f"""
+WITH item_words AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS_SQL.format("coalesce(text, '')")} AS words FROM benchmark
+), windows AS (
+    SELECT DISTINCT item_id, list_slice(words, pos, pos + 9) AS words
+    FROM (SELECT item_id, words, unnest(range(1, greatest(2, len(words) - 8))) AS pos FROM item_words WHERE len(words) > 0)
+), lengths AS (
+    SELECT DISTINCT len(words) AS size FROM windows
+), document_words AS (
+    SELECT doc_id, {WORDS_SQL.format("coalesce(text, '')")} AS words FROM documents
+), spans AS (
+    SELECT doc_id, item_id, pos, size
+    FROM (
+        SELECT doc_id, pos, size, list_slice(words, pos, pos + size - 1) AS words
+        FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS pos FROM document_words, lengths)
+    ) JOIN windows USING (words)
+), hits AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit
+    FROM (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS place FROM spans) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM spans) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+    CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM document_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+LINES_SQL = f"""
+WITH numbered AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), keyed AS (
+    SELECT *, {LOWER_SQL.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM numbered
+), repeats AS (
+    SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT doc_id, line, pos, keeper IS NULL OR keeper = doc_id AS kept FROM keyed LEFT JOIN repeats USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op2_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op9_line_dedup": LINES_SQL,
 }
-STATEMENTS: dict[str, str] = {}
