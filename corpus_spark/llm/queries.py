@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import byte_bpe, decontaminate, line_dedup, simhash, token_counts, toxicity
+from corpus_spark.llm import byte_bpe, decontaminate, licenses, line_dedup, simhash, token_counts, top_k, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -51,6 +51,39 @@ def op5_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    read = warc.archived(table(spark, folder, "pages").select("page_id", "url", "html"))
+    own = F.col("record_type") == "response"
+    # A response's size and digest are those of the bytes read back; a revisit has none, its headers tell.
+    return read.select(
+        "page_id",
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("notices", lambda each: each["base"])
+    starts = F.transform(base, lambda each: each["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).cast("long").alias("first_word"),
+        F.array_max(starts).cast("long").alias("last_word"),
+        licenses.labels(base).alias("base_labels"),
+        licenses.labels(F.col("notices")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("notices", lambda each: each["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op8_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -73,6 +106,9 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
+    "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
@@ -108,6 +144,33 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM document_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+WARC_SQL = """
+WITH payloads AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), kept AS (
+    SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN first_id IS NULL OR first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM payloads LEFT JOIN kept USING (payload_digest)
+"""
+
+TOP_K_SQL = """
+WITH sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+    FROM sound q, sound c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 LINES_SQL = f"""
 WITH numbered AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -127,5 +190,7 @@ FROM marked GROUP BY doc_id
 
 STATEMENTS: dict[str, str] = {
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op6_warc": WARC_SQL,
+    "op8_top_k": TOP_K_SQL,
     "op9_line_dedup": LINES_SQL,
 }
