@@ -28,7 +28,7 @@ SPLIT_RULES = (
 
 def tokenize_13a(text: Column) -> Column:
     """13a tokens joined by single spaces; null gives no token."""
-    value = F.regexp_replace(F.coalesce(text, F.lit("")), WS + r"+\z", "")
+    value = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<!{WS}){WS}++\z", "")
     value = F.replace(value, F.lit("<skipped>"), F.lit(""))
     value = F.replace(value, F.lit("-\n"), F.lit(""))
     value = F.replace(value, F.lit("\n"), F.lit(" "))

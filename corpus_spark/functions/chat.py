@@ -28,20 +28,23 @@ def _message(role: str, content: Column) -> Column:
 
 
 def prompt_messages(source: Column, system_prompt: str = SYSTEM_PROMPT) -> Column:
-    """System and user message, for inference."""
-    return F.array(
+    """System and user message, for inference. A null source gives null messages."""
+    messages = F.array(
         _message("system", F.lit(system_prompt)),
         _message("user", F.concat(F.lit(USER_PREFIX), source)),
     )
+    return F.when(source.isNotNull(), messages)
 
 
 def chat_messages(source: Column, target: Column, system_prompt: str = SYSTEM_PROMPT) -> Column:
-    """System, user and assistant message, for training."""
-    return F.array(
+    """System, user and assistant message, for training. A null text gives null messages, not a
+    message without content."""
+    messages = F.array(
         _message("system", F.lit(system_prompt)),
         _message("user", F.concat(F.lit(USER_PREFIX), source)),
         _message("assistant", target),
     )
+    return F.when(source.isNotNull() & target.isNotNull(), messages)
 
 
 def message_source(messages: Column) -> Column:

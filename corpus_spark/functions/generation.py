@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_spark.functions.text import squeeze
+from corpus_spark.functions.text import drop_spans, squeeze
 
 # Fixed values.
 EMPTY_PREDICTION = "..."
@@ -13,13 +13,13 @@ SHORTEST_PHRASE, LONGEST_PHRASE = 3, 10
 
 
 def strip_template_tokens(text: Column) -> Column:
-    """``<|...|>`` marks are removed, within a line."""
-    return F.regexp_replace(text, r"<\|[^\n]*?\|>", "")
+    """``<|...|>`` marks are removed, within a line. A line without a close ahead is not searched again."""
+    return drop_spans(text, "<|", "|>", within_line=True)
 
 
 def strip_thinking(text: Column) -> Column:
     """``<think>...</think>`` spans are removed, across lines."""
-    return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    return drop_spans(text, "<think>", "</think>")
 
 
 def collapse_repeats(text: Column) -> Column:

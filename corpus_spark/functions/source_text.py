@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_spark.functions.text import WS, squeeze
+from corpus_spark.functions.text import WS, drop_spans, squeeze
 from corpus_spark.functions.unicode import nfc
 
 # Characters, marks and labels that decide results.
@@ -23,6 +23,7 @@ DIGITS = "0123456789"
 LONG_GAP, SHORT_GAP = "<big_gap>", "<gap>"
 SURFACE_LABELS = r"o|r|rev|obv|lo\.?e\.?|u\.?e\.?"
 PRIMES = "'′"
+LONG_GAP_PATTERN = r"\[\.\.\.\s*\.\.\.?\]"
 
 
 def plain_h(text: Column) -> Column:
@@ -35,7 +36,7 @@ def drop_half_brackets(text: Column) -> Column:
 
 def drop_double_angles(text: Column) -> Column:
     """``<<...>>`` goes with its content, within a line."""
-    return F.regexp_replace(text, "<<[^\n]*?>>", "")
+    return drop_spans(text, "<<", ">>", within_line=True)
 
 
 def unwrap_angles(text: Column) -> Column:
@@ -45,7 +46,7 @@ def unwrap_angles(text: Column) -> Column:
 
 def mark_long_gaps(text: Column) -> Column:
     """Bracketed dots, three then two or three, become the long gap mark."""
-    return F.regexp_replace(text, rf"\[\.{{3}}{WS}*\.{{2,3}}\]", LONG_GAP)
+    return F.regexp_replace(text, LONG_GAP_PATTERN.replace(r"\s", WS), LONG_GAP)
 
 
 def mark_short_gaps(text: Column) -> Column:

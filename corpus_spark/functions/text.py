@@ -50,3 +50,23 @@ def strip_prefix(text: Column, prefix: str) -> Column:
 def code_points(text: Column) -> Column:
     """Length in code points."""
     return F.length(text)
+
+
+def drop_spans(text: Column, opening: str, closing: str, within_line: bool = False) -> Column:
+    """Each span from an opening mark to the next closing one is removed.
+
+    Nothing after the last closing mark can be part of a span, so that rest is set aside first: every
+    opening mark that is looked at then finds its close, and the time stays linear in the text. Where
+    spans end with the line, the lines are taken one by one.
+    """
+    span = rf"(?s)\Q{opening}\E.*?\Q{closing}\E"
+
+    def dropped(part: Column) -> Column:
+        rest = F.substring_index(part, closing, -1)
+        head = F.left(part, F.length(part) - F.length(rest))
+        return F.concat(F.regexp_replace(head, span, ""), rest)
+
+    if within_line:
+        return F.array_join(F.transform(F.split(text, "\n", -1), dropped), "\n")
+    # A list of one, so that the text is computed once.
+    return F.get(F.transform(F.array(text), dropped), F.lit(0))

@@ -1,6 +1,7 @@
 import random
 import re
 import sys
+import time
 import unicodedata
 
 import pytest
@@ -185,3 +186,28 @@ def test_tokenize_13a(apply):
 def test_split_punctuation(apply):
     values = noise(7, 1500, [*"ab.,-'\"()$\\[]^ ", "é", "…"], 20) + ["(hi)", "a", ".", "..", "(a", ""]
     assert [value.split() for value in apply(chrf.split_punctuation, values)] == [chrf_words(value) for value in values]
+
+
+@pytest.mark.parametrize(
+    "function,text",
+    [
+        (generation.strip_thinking, "<think>" * 100_000),
+        (generation.strip_template_tokens, "<|" * 100_000),
+        (source_text.drop_double_angles, "<<" * 100_000),
+        (bleu.tokenize_13a, "a" + " " * 100_000 + "a"),
+    ],
+)
+def test_cleaners_are_linear(spark, function, text):
+    rows = spark.createDataFrame([(text,)], "text string").cache()
+    rows.count()
+    start = time.perf_counter()
+    rows.select(F.length(function(F.col("text")))).collect()
+    assert time.perf_counter() - start < 3
+
+
+def test_spans_are_dropped_as_a_lazy_regex_does(apply):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["<<", ">>", "<", ">", "a", "\n", "<|", "|>", "<think>", "</think>"]) for _ in range(rng.randrange(12))) for _ in range(800)]
+    assert apply(source_text.drop_double_angles, [*texts, None]) == [*[re.sub("<<[^\n]*?>>", "", text) for text in texts], None]
+    assert apply(generation.strip_template_tokens, texts) == [re.sub(r"<\|[^\n]*?\|>", "", text) for text in texts]
+    assert apply(generation.strip_thinking, [*texts, None]) == [*[re.sub(r"(?s)<think>.*?</think>", "", text) for text in texts], None]
