@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.session import spread
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -56,9 +54,18 @@ def some_blank(text: Column, size: Column) -> Column:
     return F.when(size % 11 == 0, F.lit(" \t")).when(size % 13 != 0, text)
 
 
+# Tasks that rows of text tables are dealt to, or None to take the files' splits as they come. A table
+# of one row group is one task; who runs on such a table (the bench) may set a number.
+DEAL: int | None = None
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    return df if DEAL is None else df.repartition(DEAL)
+
+
 def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table whose text columns are about to be worked on."""
-    return spread(table(spark, folder, name))
+    return dealt(table(spark, folder, name))
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,7 +84,7 @@ def turn_pairs(spark: SparkSession, folder: str) -> DataFrame:
     answered = turns.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("target")
     )
-    return spread(asked).join(answered, ["conv_id", "turn"])
+    return dealt(asked).join(answered, ["conv_id", "turn"])
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

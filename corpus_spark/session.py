@@ -24,6 +24,8 @@ def build_session(app_name: str = "corpus_spark", master: str | None = None, **c
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Batches to Python are bounded by size as well as by rows, for tables of long texts.
         "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
+        # Staged rows go when the frame that reads them does.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Plans are built by library code; recording the Python line of every expression is slow.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
@@ -34,7 +36,11 @@ def build_session(app_name: str = "corpus_spark", master: str | None = None, **c
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names, or a temporary one where none is named (tests)."""
+    """The checkpoint folder the cluster names, which all executors share.
+
+    A local session without one gets a temporary folder of this machine (tests); on a cluster that
+    is an error, because executors do not see each other's disks.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,6 +48,8 @@ def scratch_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="corpus_spark-"))
     return context.getCheckpointDir()
 
@@ -59,14 +67,3 @@ def staged(df: DataFrame) -> DataFrame:
     """
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small input, straight from its source, dealt over all cores; a large one as it is.
-
-    A table of one row group, or a multi-line CSV file, is one task whatever its size. Where the
-    input has fewer splits than two per core it is at most that many splits large, so dealing its
-    rows costs little; beyond that the splits keep the cluster busy and nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
