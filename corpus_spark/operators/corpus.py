@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from corpus_spark.functions.chat import chat_messages
 from corpus_spark.functions.source_text import clean_source, clean_target
 from corpus_spark.functions.text import has_text
 from corpus_spark.operators.columns import SOURCE_ALIASES, TARGET_ALIASES, column, require_column
+from corpus_spark.operators.split import auto_split
 
 SOURCE_CLEAN = "transliteration_clean"
 TARGET_CLEAN = "translation_clean"
@@ -65,3 +67,14 @@ def kept_counts(df: DataFrame, source: str, target: str, *by: str) -> DataFrame:
         F.count_if(kept).alias("rows_kept"),
         F.count_if(~kept).alias("rows_dropped"),
     )
+
+
+def chat_sets(clean: DataFrame, *keep: str) -> DataFrame:
+    """Clean parallel rows labelled ``train`` or ``val`` by document, as chat records in ``messages``.
+
+    Rows with a missing side make no record. The named columns stay, for an order of the small set.
+    """
+    source = column(require_column(clean, SOURCE_CLEAN))
+    target = column(require_column(clean, TARGET_CLEAN))
+    labelled = auto_split(clean.filter(source.isNotNull() & target.isNotNull()))
+    return labelled.select(*[column(name) for name in keep], chat_messages(source, target).alias("messages"), "split")

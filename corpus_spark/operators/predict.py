@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -35,6 +35,13 @@ class GenerationOptions:
     max_input_tokens: int = 2048
     max_new_tokens: int = 256
 
+    @classmethod
+    def from_settings(cls, settings: Row) -> GenerationOptions:
+        """From one run's settings, defaults for what is not set there."""
+        keys = {"batch_size": "inference_batch_size", "max_input_tokens": "max_seq_length", "max_new_tokens": "max_new_tokens"}
+        found = {option: settings[key] for option, key in keys.items() if key in settings and settings[key] is not None}
+        return cls(**{option: int(value) for option, value in found.items()})
+
 
 Predictor = Callable[[list[str]], list[str]]
 PredictorFactory = Callable[[GenerationOptions], Predictor]
@@ -100,6 +107,8 @@ def translate(
     to the model.
     """
     if global_length_order:
+        if not tie:
+            raise ValueError("A global length order needs a unique column that breaks ties")
         ordered = sort_by_length(df, source, *tie)
     else:
         ordered = df.sortWithinPartitions(F.length(column(source)), *[column(name) for name in tie])

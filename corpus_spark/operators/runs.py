@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_spark.operators.columns import column
+
 # Defaults and layout of run names.
 DEFAULT_RANK, DEFAULT_ALPHA, DEFAULT_LR, DEFAULT_EPOCHS = "32", "64", "0.0002", "3"
 RUN_NAME_PATTERN = r"\A(.*)_r([^-_]+)-a([^_]+)_lr([^_]+)_ep([^_]+)\z"
@@ -37,6 +39,15 @@ def run_name(
     )
 
 
+def identified(settings: DataFrame) -> DataFrame:
+    """Settings with ``run`` and ``folder``: a name that is set wins over the built one, and a sweep
+    puts its runs below its folder, each under its name."""
+    built = run_name(*[column(name) for name in ("model_name", "lora_r", "lora_alpha", "lr", "epochs")])
+    run = F.coalesce(column("run_name"), built)
+    below = F.concat(F.regexp_replace(column("sweep_dir"), "/+\\z", ""), F.lit("/"), run)
+    return settings.withColumns({"run": run, "folder": F.coalesce(below, column("output_dir"))})
+
+
 def parse_run_name(df: DataFrame, run: str = "run") -> DataFrame:
     """Add ``model``, ``lora_r``, ``lora_alpha``, ``lr`` and ``epochs``; null where the name has another form."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_spark.operators.columns import SPLIT_KEY_ALIASES, column, find_column
-from corpus_spark.operators.indexing import with_row_index
+from corpus_spark.operators.indexing import POSITION, file_position
 
 # Fixed values.
 VAL_FRACTION = 0.10
@@ -33,8 +33,9 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def seeded_shuffle(df: DataFrame, key: str, *tie: str, seed: int = SEED) -> DataFrame:
-    """Rows in seeded order of a key. Where many rows share a key, the tie columns order them and
-    let the sort cut a hot key into several ranges."""
+    """Rows in seeded order of a key. The tie columns order rows that share a key and let the sort cut
+    a hot key into several ranges; where none are named all columns that sort break the tie."""
+    tie = tie or tuple(f.name for f in df.schema.fields if f.name != key and f.dataType.typeName() not in ("map", "variant"))
     return df.orderBy(split_rank(column(key), seed), column(key), *[column(name) for name in tie])
 
 
@@ -80,9 +81,17 @@ def document_split(df: DataFrame, key: str, fraction: float = VAL_FRACTION, seed
 
 
 def row_split(df: DataFrame, key: str | None = None, fraction: float = VAL_FRACTION, seed: int = SEED) -> DataFrame:
-    """The same on rows: by a unique row key, or by row position where there is none."""
+    """The same on rows: by a unique row key, or by file and position in it where there is none.
+
+    Without a key the rank is a hash of where the row stood, so any number of tasks gives the same
+    split and nothing is staged; a frame without such positions needs a key.
+    """
     if key is None:
-        return row_split(with_row_index(df), "row_index", fraction, seed).drop("row_index")
+        place = file_position(df)
+        if place is None:
+            raise ValueError("Rows have no file position: give a key, or read with positions")
+        placed = df.withColumn("__place", place.cast("string"))
+        return row_split(placed, "__place", fraction, seed).drop("__place", POSITION)
     rank = split_rank(column(key), seed)
     return _label(df, rank, df.select(rank.alias("rank")), fraction)
 

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corpus_spark.functions.generation import postprocess
+from corpus_spark.functions.generation import EMPTY_PREDICTION, postprocess
 from corpus_spark.operators.columns import PREDICTION_ALIASES, SUBMISSION_ID_ALIASES, column, find_column, require_column
-from corpus_spark.operators.indexing import with_row_index
+from corpus_spark.operators.indexing import POSITION, with_row_index
 
 
-def _translation(predictions: DataFrame, apply_postprocess: bool):
-    value = column(require_column(predictions, *PREDICTION_ALIASES))
+def _prediction(predictions: DataFrame) -> Column:
+    return column(require_column(predictions, *PREDICTION_ALIASES))
+
+
+def _translation(value: Column, apply_postprocess: bool) -> Column:
     return postprocess(value) if apply_postprocess else value
 
 
@@ -29,27 +32,34 @@ def with_submission_id(test: DataFrame) -> DataFrame:
 def submission(predictions: DataFrame, apply_postprocess: bool = True) -> DataFrame:
     """From predictions that carry their id: a projection, nothing is joined."""
     ids = column(require_column(predictions, *SUBMISSION_ID_ALIASES))
-    return predictions.select(ids.alias("id"), _translation(predictions, apply_postprocess).alias("translation"))
+    return predictions.select(ids.alias("id"), _translation(_prediction(predictions), apply_postprocess).alias("translation"))
 
 
-def submission_by_key(test: DataFrame, predictions: DataFrame, apply_postprocess: bool = True) -> DataFrame:
-    """Join test ids with predictions on the id.
+def submission_by_key(
+    test: DataFrame, predictions: DataFrame, apply_postprocess: bool = True, observation: Observation | None = None
+) -> DataFrame:
+    """Every test id with its prediction, ``...`` where nothing was predicted.
 
-    An id with two predictions is an error: they are counted by the aggregate whose shuffle the
-    join uses anyway, so the join cannot multiply rows.
+    An id with two predictions is an error: ids alone are counted, on the partitioning the join uses
+    anyway. Texts are joined as they are and cleaned afterwards, so predictions no test row asks for
+    are not cleaned. ``observation`` gets ``test_rows`` and ``predicted``, counted while writing.
     """
     ids = with_submission_id(test).select("id")
     found = predictions.select(
-        column(require_column(predictions, *SUBMISSION_ID_ALIASES)).alias("id"),
-        _translation(predictions, apply_postprocess).alias("translation"),
-    )
-    single = found.groupBy("id").agg(F.any_value("translation").alias("translation"), F.count(F.lit(1)).alias("n"))
-    checked = single.select(
-        "id",
-        F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("Several predictions for id "), F.col("id").cast("string"))))
-        .otherwise(F.col("translation")).alias("translation"),
+        column(require_column(predictions, *SUBMISSION_ID_ALIASES)).alias("id"), _prediction(predictions).alias("__text")
     )
-    return ids.join(checked, "id")
+    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
+    several = F.raise_error(F.concat(F.lit("Several predictions for id "), F.col("id").cast("string")))
+    single = counts.select("id", F.when(F.col("__n") > 1, several.cast("long")).otherwise(F.col("__n")).alias("__n"))
+    joined = ids.join(single, "id", "left").join(found, "id", "left")
+    return _filled(joined, F.col("__n").isNotNull(), apply_postprocess, observation)
+
+
+def _filled(joined: DataFrame, found: Column, apply_postprocess: bool, observation: Observation | None) -> DataFrame:
+    if observation is not None:
+        joined = joined.observe(observation, F.count(F.lit(1)).alias("test_rows"), F.count_if(found).alias("predicted"))
+    text = F.when(found, F.col("__text")).otherwise(F.lit(EMPTY_PREDICTION))
+    return joined.select("id", _translation(text, apply_postprocess).alias("translation"))
 
 
 def submission_by_position(
@@ -59,19 +69,28 @@ def submission_by_position(
     test_order: tuple = (),
     prediction_order: tuple = (),
 ) -> DataFrame:
-    """Pair the n-th test row with the n-th prediction, as far as both go; for prediction files without ids.
+    """Pair the n-th test row with the n-th prediction, for prediction files without ids.
 
-    Order columns make the positions independent of file layout; without them the partition order counts.
+    Every test row comes out, with ``...`` where the predictions end before it; different counts are
+    warned of. Positions follow the order columns, or else the order of the rows in their files.
+    Only ids, texts and order columns are staged. Runs jobs when called.
     """
-    ids = with_row_index(with_submission_id(test).select("id", *test_order), *test_order, name="__row")
-    texts = with_row_index(predictions, *prediction_order, name="__row").select(
-        "__row", _translation(predictions, apply_postprocess).alias("translation")
-    )
-    return ids.select("__row", "id").join(texts, "__row").select("id", "translation")
+    named = with_submission_id(test)
+    keep = [column("id"), *([F.col(POSITION)] if POSITION in named.columns else [])]
+    ids = with_row_index(named.select(*keep, *test_order) if test_order else named.select(*keep), *test_order, name="__row")
+    keep = [_prediction(predictions).alias("__text"), *([F.col(POSITION)] if POSITION in predictions.columns else [])]
+    texts = with_row_index(
+        predictions.select(*keep, *prediction_order) if prediction_order else predictions.select(*keep), *prediction_order, name="__row"
+    ).select("__row", "__text", F.lit(True).alias("__found"))
+    counts = position_counts(ids, texts).first()
+    if not counts.same:
+        warnings.warn(f"{counts.prediction_rows} predictions for {counts.test_rows} test rows", stacklevel=2)
+    joined = ids.select("__row", "id").join(texts, "__row", "left")
+    return _filled(joined, F.col("__found").isNotNull(), apply_postprocess, None)
 
 
 def position_counts(test: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Rows on both sides and whether they agree, to warn before pairing by position."""
+    """Rows on both sides and whether they agree."""
     sides = test.select(F.lit(1).alias("t"), F.lit(0).alias("p")).unionAll(
         predictions.select(F.lit(0).alias("t"), F.lit(1).alias("p"))
     )

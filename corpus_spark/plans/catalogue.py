@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.functions import bleu, chat, chrf, generation, source_text, text, unicode
@@ -181,6 +181,24 @@ def chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def prepared_sets(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw pairs to the three chat sets: cleaned, filtered, split by conversation, written, read back.
+    Writes them when called."""
+    place = scratch_path(spark, "prepared")
+    clean = corpus.clean_parallel(_raw_pairs(spark, folder)).withColumnRenamed("conv_id", "text_id")
+    writers.write_chat_sets(corpus.chat_sets(clean, "text_id", "turn"), place, "text_id", "turn")
+    read = None
+    for name in ("train_full", "val", "train_small"):
+        found = paths.first_existing(spark, f"{place}/{name}.missing", f"{place}/{name}.jsonl")
+        messages = F.col("messages")
+        part = readers.read_chat(spark, found).select(
+            F.lit(name).alias("part"), chat.message_source(messages).alias("source"), chat.message_reference(messages).alias("reference")
+        )
+        read = part if read is None else read.unionByName(part)
+    return read
+
+
 # --- chat records -------------------------------------------------------------------------------
 
 
@@ -431,21 +449,38 @@ def submission_table(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def submission_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as test rows, predictions joined by id."""
+    """Labelled documents as test rows, predictions joined by id; every seventh was not predicted."""
     test = tables.table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    found = tables.documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
+    found = tables.documents(spark, folder).filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
     return submission.submission_by_key(test, found)
 
 
+def _turn_id() -> Column:
+    return F.concat_ws("-", "conv_id", "turn")
+
+
 @query
 def submission_by_position(spark: SparkSession, folder: str) -> DataFrame:
-    """Answers paired with questions by position, as far as both go."""
+    """Answers paired with questions by position; questions beyond the answers get the empty prediction.
+    Runs jobs when called."""
     turns = tables.conversations(spark, folder)
-    test = turns.filter("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
+    order = (F.col("conv_id"), F.col("turn"))
+    test = turns.filter("role = 'user'").select(_turn_id().alias("id"), "conv_id", "turn")
     found = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prediction"))
-    return submission.submission_by_position(
-        test, found, test_order=(F.col("id"),), prediction_order=(F.col("conv_id"), F.col("turn"))
-    )
+    return submission.submission_by_position(test, found, test_order=order, prediction_order=order)
+
+
+@query
+def file_order_submission(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions in several files of unequal size, without ids, paired by their place in the files.
+    Writes them when called."""
+    place = scratch_path(spark, "unordered")
+    rows = tables.table(spark, folder, "documents")
+    for name, chosen in (("0", "doc_id < 10"), ("1", "doc_id >= 10 AND doc_id < 150"), ("2", "doc_id >= 150 AND doc_id < 153"), ("3", "doc_id >= 153")):
+        writers.write_csv(rows.filter(chosen).orderBy("doc_id").select(F.col("text").alias("prediction")), f"{place}/{name}")
+    found = readers.read_csv(spark, *[f"{place}/{name}" for name in "3102"], positions=True)
+    test = rows.select(F.col("doc_id").alias("id"))
+    return submission.submission_by_position(test, found, test_order=(F.col("id"),))
 
 
 @query
@@ -457,7 +492,7 @@ def position_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def translate_and_submit(spark: SparkSession, folder: str) -> DataFrame:
     """Raw test rows to submission in one plan: clean, translate, clean the output, name the id."""
-    raw = _raw_pairs(spark, folder).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "Source")
+    raw = _raw_pairs(spark, folder).select(_turn_id().alias("id"), "Source")
     return submission.submission(predict.translate_test(corpus.clean_test(raw), LOOKUP))
 
 
@@ -503,3 +538,19 @@ def ranked_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
     ranked = runs.rank_runs(runs.with_settings(scores, settings), "epoch")
     return ranked.withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def run_settings(spark: SparkSession, folder: str) -> DataFrame:
+    """Score documents and settings files of all runs, joined by the name that the settings give.
+    Writes them when called, a file per run."""
+    place = scratch_path(spark, "runs")
+    scores = last_epoch_scores(spark, folder)
+    for run in [row.run for row in tables.run_predictions(spark, folder).select("run").distinct().collect()]:
+        writers.write_scores(scores.filter(F.col("run") == run).drop("run"), f"{place}/{run}/scores.json")
+        rank = run.split("_r")[1].split("-")[0]
+        lines = ("model_name: Org/model  # base", f"lora_r: {rank}", "lora_alpha: 32", "lr: 1e-4", "epochs: 4", 'sweep_dir: "sweeps/"')
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{place}/{run}/settings.yaml")
+    settings = runs.identified(readers.read_settings(spark, f"{place}/*/settings.yaml"))
+    joined = runs.with_settings(readers.read_scores(spark, place), settings.select("run", "folder", "lora_r"))
+    return joined.select("run", "folder", "lora_r", "epoch", "bleu", "chrfpp", "geomean")

@@ -299,6 +299,11 @@ def oracle_statements() -> dict[str, str]:
     turns_output = f"SELECT conv_id * 100 + turn AS id, {stripped_output(some_blank(outputs, 'length(text)'))} AS text FROM conversations"
     docs_output = f"SELECT doc_id AS id, {stripped_output(outputs)} AS text FROM documents"
     default = "CASE WHEN clean = '' THEN '...' ELSE clean END"
+    prepared = labelled(
+        f"""SELECT * FROM (SELECT conv_id AS text_id, turn, {cleaned_source('source')} AS source, {cleaned_target('target')} AS reference
+            FROM ({RAW_PAIRS})) WHERE source <> '' AND reference <> ''""",
+        "text_id",
+    )
     by_source = labelled("SELECT doc_id, source FROM documents", "source")
     return {
         "clean_source": f"SELECT doc_id, lang, clean FROM ({clean_docs}) WHERE clean <> ''",
@@ -368,14 +373,22 @@ def oracle_statements() -> dict[str, str]:
             {stripped_output(replaced('source', OUTPUT_MARKS))} AS text FROM ({PAIRS})''')}
             SELECT id // 100 AS conv_id, id % 100 AS turn, {default} AS prediction_clean FROM collapsed""",
         "submission_table": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
-        "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents")}
-            SELECT id, {default} AS translation FROM collapsed SEMI JOIN (SELECT doc_id AS id FROM labels) USING (id)""",
+        "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents WHERE doc_id % 7 <> 0")}
+            SELECT id, coalesce({default}, '...') AS translation FROM (SELECT doc_id AS id FROM labels) LEFT JOIN collapsed USING (id)""",
         "submission_by_position": f"""WITH {collapsed(f'''SELECT row_number() OVER (ORDER BY conv_id, turn) AS id,
             {stripped_output('text')} AS text FROM conversations WHERE role = 'assistant' ''')},
-            test AS (SELECT conv_id * 100 + turn AS id, row_number() OVER (ORDER BY conv_id * 100 + turn) AS place
+            test AS (SELECT conv_id || '-' || turn AS id, row_number() OVER (ORDER BY conv_id, turn) AS place
                      FROM conversations WHERE role = 'user')
-            SELECT test.id, {default} AS translation FROM test JOIN collapsed ON collapsed.id = test.place""",
-        "translate_and_submit": f"""WITH {collapsed(f'''SELECT conv_id * 100 + turn AS id,
+            SELECT test.id, coalesce({default}, '...') AS translation FROM test LEFT JOIN collapsed ON collapsed.id = test.place""",
+        "file_order_submission": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents")}
+            SELECT id, {default} AS translation FROM collapsed""",
+        "prepared_sets": f"""WITH prepared AS ({prepared})
+            SELECT 'train_full' AS part, source, reference FROM prepared WHERE split = 'train'
+            UNION ALL SELECT 'val', source, reference FROM prepared WHERE split = 'val'
+            UNION ALL (SELECT 'train_small', source, reference FROM prepared WHERE split = 'train' ORDER BY text_id, turn LIMIT 100)""",
+        "run_settings": f"""SELECT run, 'sweeps/' || run AS folder, regexp_extract(run, '_r([0-9]+)', 1) AS lora_r, epoch, bleu, chrfpp, geomean
+            FROM ({LAST_SCORES})""",
+        "translate_and_submit": f"""WITH {collapsed(f'''SELECT conv_id || '-' || turn AS id,
             CASE WHEN clean = '' THEN '...' ELSE {stripped_output(looked_up('clean'))} END AS text
             FROM (SELECT conv_id, turn, {cleaned_source('source')} AS clean FROM ({RAW_PAIRS}))''')}
             SELECT id, {default} AS translation FROM collapsed""",

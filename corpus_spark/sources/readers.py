@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from corpus_spark.functions.chat import CHAT_SCHEMA
 from corpus_spark.operators.columns import column
+from corpus_spark.operators.indexing import POSITION
 
 # The null token is one no text holds, so a quoted empty field stays an empty text and only an
 # unquoted one is null.
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\u0000"}
+# A file whose header differs from the first one's is an error, not columns by position.
+_CSV = {"header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "nullValue": "\u0000", "enforceSchema": "false"}
 
 # The keys of a run's settings file.
 SETTINGS_KEYS = (
@@ -20,19 +22,25 @@ SETTINGS_KEYS = (
 )
 
 
-def read_csv(spark: SparkSession, *paths: str, na_tokens: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with a header, RFC 4180 quotes and line breaks in fields.
+def read_csv(
+    spark: SparkSession, *paths: str, na_tokens: tuple[str, ...] = (), line_breaks: bool = True, positions: bool = False
+) -> DataFrame:
+    """CSV with a header, RFC 4180 quotes and line breaks in fields. All files have one header.
 
-    Only an empty unquoted field is null; ``na_tokens`` names further values to read as null. A
-    multi-line file cannot be split, so large inputs should come as many part files (as
-    ``write_csv`` makes them) and be kept as Parquet afterwards.
+    Only an empty unquoted field is null; ``na_tokens`` names further values to read as null. A file
+    with line breaks in fields cannot be split, so each is one task (``write_csv`` bounds the size of
+    its parts); where no field holds one, say so with ``line_breaks=False`` and files are split.
+    ``positions`` adds a column that says where in which file a row stood, for ``with_row_index`` and
+    keyless splits; files count by path, whatever the order they are named in.
     """
-    df = spark.read.options(**_CSV).csv(list(paths))
-    if not na_tokens:
+    df = spark.read.options(**_CSV, multiLine=line_breaks).csv(list(paths))
+    if na_tokens:
+        df = df.select(*[F.when(~column(name).isin(*na_tokens), column(name)).alias(name) for name in df.columns])
+    if not positions:
         return df
-    return df.select(
-        *[F.when(~column(name).isin(*na_tokens), column(name)).alias(name) for name in df.columns]
-    )
+    # Within a split of a file the running number follows the rows; splits follow by their start.
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn(POSITION, place)
 
 
 def read_chat(spark: SparkSession, *paths: str) -> DataFrame:

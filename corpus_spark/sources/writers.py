@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpus_spark.operators.columns import column
+from corpus_spark.operators.split import SMALL_ROWS, split_outputs
 
 _CSV = {
     "header": "true", "quote": '"', "escape": '"', "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
-# One part file is one task when a multi-line CSV is read back, so parts are kept small.
-CSV_ROWS_PER_FILE = 1_000_000
+# A part with line breaks in fields is one task when it is read back, so parts are bounded in bytes.
+CSV_BYTES_PER_FILE = 128 << 20
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int = CSV_ROWS_PER_FILE) -> None:
-    df.write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", rows_per_file).csv(path)
+def rows_per_file(df: DataFrame, most_bytes: int = CSV_BYTES_PER_FILE) -> int:
+    """Rows that make about ``most_bytes``, from the mean size of all rows (one pass over them)."""
+    size = F.lit(len(df.columns))
+    for name in df.columns:
+        size = size + F.coalesce(F.octet_length(column(name).cast("string")), F.lit(0))
+    mean = df.agg(F.avg(size)).first()[0]
+    return max(1, int(most_bytes / mean)) if mean else 0
+
+
+def write_csv(df: DataFrame, path: str, bytes_per_file: int | None = CSV_BYTES_PER_FILE) -> None:
+    """CSV parts of about ``bytes_per_file`` whatever the rows' size; None leaves parts as tasks make them."""
+    most = rows_per_file(df, bytes_per_file) if bytes_per_file else 0
+    df.write.mode("overwrite").options(**_CSV).option("maxRecordsPerFile", most).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -28,6 +41,19 @@ def write_split(labelled: DataFrame, path: str) -> None:
     labelled.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_chat_sets(labelled: DataFrame, folder: str, *small_order: str, rows: int = SMALL_ROWS) -> None:
+    """The chat sets ``train_full.jsonl``, ``val.jsonl`` and ``train_small.jsonl`` of a labelled frame with ``messages``.
+
+    The frame is labelled and written once, by split; the sets are read from there, so three writes
+    do not find the cutoff three times. The small set is the first ``rows`` in the given order.
+    """
+    staged = f"{folder.rstrip('/')}/labelled"
+    write_split(labelled, staged)
+    parts = split_outputs(labelled.sparkSession.read.parquet(staged), *[column(name) for name in small_order], rows=rows)
+    for name, part in parts.items():
+        write_jsonl(part.select("messages"), f"{folder.rstrip('/')}/{name}.jsonl")
+
+
 def write_predictions(df: DataFrame, path: str, *layout: str) -> None:
     """Predictions as Parquet under ``column=value`` folders, such as split, variant and stage."""
     df.write.mode("overwrite").partitionBy(*layout).parquet(path)
@@ -46,7 +72,7 @@ def write_submission(submission: DataFrame, path: str, order_by: str | None = No
         rows = rows.orderBy(column(order_by))
     if single_file:
         rows = rows.coalesce(1)
-    write_csv(rows, path, rows_per_file=0 if single_file else CSV_ROWS_PER_FILE)
+    write_csv(rows, path, None if single_file else CSV_BYTES_PER_FILE)
 
 
 def write_run_scores(scores: DataFrame, folder: str) -> None:

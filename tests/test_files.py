@@ -17,12 +17,26 @@ def nasty(seed, count):
 def test_csv_keeps_every_text(spark, tmp_path):
     values = [*nasty(1, 600), "", None, " a ", "NA", "null"]
     rows = spark.createDataFrame(list(enumerate(values)), "id int, text string")
-    writers.write_csv(rows, str(tmp_path / "deep" / "t.csv"), rows_per_file=100)
+    writers.write_csv(rows, str(tmp_path / "deep" / "t.csv"), bytes_per_file=2000)
     back = readers.read_csv(spark, str(tmp_path / "deep" / "t.csv"))
     assert back.dtypes == [("id", "string"), ("text", "string")]
     assert {int(row.id): row.text for row in back.collect()} == dict(enumerate(values))
 
 
+def test_a_reordered_header_is_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n1,x\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("text,id\nfour,4\n", encoding="utf-8")
+    with pytest.raises(Exception, match="header"):
+        readers.read_csv(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.csv")).collect()
+
+
+def test_csv_parts_are_bounded_in_bytes(spark, tmp_path):
+    rows = spark.range(0, 300, 1, 1).select("id", F.expr("repeat('x', 1000)").alias("text"))
+    writers.write_csv(rows, str(tmp_path / "t"), bytes_per_file=50_000)
+    sizes = [part.stat().st_size for part in (tmp_path / "t").glob("part-*")]
+    assert len(sizes) >= 6 and max(sizes) < 60_000
+
+
 def test_csv_of_other_writers(spark, tmp_path):
     (tmp_path / "t.csv").write_text('id,text\n1,"a ""b"", c\nd"\n2,\n3,NA\n', encoding="utf-8")
     assert [row.text for row in readers.read_csv(spark, str(tmp_path / "t.csv")).orderBy("id").collect()] == ['a "b", c\nd', None, "NA"]

@@ -1,4 +1,5 @@
 import sys
+import warnings
 
 import pytest
 from pyspark import cloudpickle
@@ -48,7 +49,7 @@ def test_cleaning_runs_once_per_row(spark, observe):
     rows = spark.createDataFrame(RAW, "source string, target string")
     plan = corpus.clean_parallel(rows, Observation("once") if observe else None)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
-    assert plan.count("<<[^") == 1
+    assert plan.count("Q<<") == 1
 
 
 def test_test_rows_are_all_kept(spark):
@@ -143,28 +144,66 @@ def test_submission_by_carried_id(spark):
 def test_submission_by_key(spark):
     test = spark.createDataFrame([(1, 9), (2, 8), (4, 7)], "id int, text_id int")
     found = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "id int, prediction string")
-    assert sorted(map(tuple, submission.submission_by_key(test, found).collect())) == [(1, "a"), (2, "b")]
+    observation = Observation("pairs")
+    joined = submission.submission_by_key(test, found, observation=observation)
+    assert sorted(map(tuple, joined.collect())) == [(1, "a"), (2, "b"), (4, "...")]
+    assert observation.get == {"test_rows": 3, "predicted": 2}
+    assert "SortAggregate" not in joined._jdf.queryExecution().executedPlan().toString()
+    raw = submission.submission_by_key(test, found.union(spark.createDataFrame([(4, None)], found.schema)), apply_postprocess=False)
+    assert sorted(map(tuple, raw.collect())) == [(1, "a"), (2, "b"), (4, None)]
     with pytest.raises(Exception, match="Several predictions for id 2"):
         submission.submission_by_key(test, found.union(found.filter("id = 2"))).collect()
 
 
 @pytest.mark.parametrize("count", [3, 5, 7])
-def test_submission_by_position(spark, count):
-    test = spark.createDataFrame([(f"t{place}",) for place in range(5)], "Text_Id string").coalesce(1)
-    found = spark.createDataFrame([(f"p{place}",) for place in range(count)], "prediction string").coalesce(1)
-    pairs = sorted(map(tuple, submission.submission_by_position(test, found).collect()))
-    assert pairs == [(f"t{place}", f"p{place}") for place in range(min(5, count))]
+def test_submission_by_position(spark, tmp_path, count):
+    test = spark.createDataFrame([(f"t{place}",) for place in range(5)], "Text_Id string")
+    spark.createDataFrame([(f"p{place}",) for place in range(count)], "prediction string").coalesce(1).write.parquet(f"{tmp_path}/p")
+    found = spark.read.parquet(f"{tmp_path}/p")
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        paired = submission.submission_by_position(test, found, test_order=(F.col("Text_Id"),))
+    assert any("predictions for 5 test rows" in str(each.message) for each in caught) == (count != 5)
+    pairs = sorted(map(tuple, paired.collect()))
+    assert pairs == [(f"t{place}", f"p{place}" if place < count else "...") for place in range(5)]
     counts = submission.position_counts(test, found).collect()[0]
     assert (counts.test_rows, counts.prediction_rows, counts.same) == (5, count, count == 5)
 
 
-def test_submission_id_falls_back_to_position(spark):
-    test = spark.createDataFrame([("a",), ("b",)], "source string").coalesce(1)
+def test_submission_id_falls_back_to_position(spark, tmp_path):
+    spark.createDataFrame([("a",), ("b",)], "source string").coalesce(1).write.parquet(f"{tmp_path}/t")
     with pytest.warns(UserWarning, match="row position"):
-        named = submission.with_submission_id(test)
+        named = submission.with_submission_id(spark.read.parquet(f"{tmp_path}/t"))
     assert [(row.source, row.id) for row in named.orderBy("id").collect()] == [("a", 0), ("b", 1)]
 
 
+def limits(options):
+    return lambda prompts: [f"{options.batch_size} {options.max_input_tokens} {options.max_new_tokens}" for _ in prompts]
+
+
+def test_options_come_from_settings(spark):
+    rows = spark.createDataFrame([("4", "512", None)], "inference_batch_size string, max_seq_length string, max_new_tokens string")
+    options = predict.GenerationOptions.from_settings(rows.first())
+    found = rows.select(predict.predict_column(F.lit("x"), limits, options).alias("a")).first().a
+    assert found == "4 512 256"
+    with pytest.raises(ValueError, match="tie"):
+        predict.translate(rows, "max_seq_length", limits, global_length_order=True)
+
+
+def test_runs_are_identified(spark):
+    names = "model_name string, lora_r string, lora_alpha string, lr string, epochs string, run_name string, sweep_dir string, output_dir string"
+    rows = [("O/M", "8", None, None, None, None, "s/", "o"), ("O/M", None, None, None, None, "mine", "s", None), ("O/M", None, None, None, None, "mine", None, "o")]
+    found = runs.identified(spark.createDataFrame(rows, names)).select("run", "folder").collect()
+    assert list(map(tuple, found)) == [("m_r8-a64_lr0.0002_ep3", "s/m_r8-a64_lr0.0002_ep3"), ("mine", "s/mine"), ("mine", "o")]
+
+
+def test_null_texts_make_no_messages(spark):
+    row = spark.range(1).select(
+        chat.chat_messages(F.lit(None).cast("string"), F.lit("t")).alias("a"), chat.chat_messages(F.lit("s"), F.lit(None).cast("string")).alias("b")
+    ).first()
+    assert row.a is None and row.b is None
+
+
 def test_row_counts_are_observed(spark):
     observation = Observation("rows")
     submission.observed(spark.range(7), observation).collect()

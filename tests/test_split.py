@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_spark.sources import readers
 from corpus_spark.operators import indexing, split
 
 
@@ -52,13 +53,23 @@ def test_documents_stay_out_of_shuffles(spark):
     assert plan.lstrip().startswith("Project") and "Join" not in plan.split("Range")[0].split("scalar-subquery")[0]
 
 
-def test_row_split_without_a_key(spark):
-    rows = spark.createDataFrame([("same",)] * 95, "text string").repartition(4)
-    with pytest.warns(UserWarning, match="one by one"):
-        labelled = split.auto_split(rows)
-    counts = {row.split: row["count"] for row in labelled.groupBy("split").count().collect()}
-    assert counts == {"val": 9, "train": 86}
-    assert labelled.columns == ["text", "split"]
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_row_split_without_a_key(spark, tmp_path, kind):
+    path = str(tmp_path / "rows")
+    rows = spark.range(0, 1000, 1, 5).select(F.col("id").cast("string").alias("text"))
+    rows.write.parquet(path) if kind == "parquet" else rows.write.option("header", "true").csv(path)
+
+    def labelled(tasks):
+        read = spark.read.parquet(path) if kind == "parquet" else readers.read_csv(spark, path, positions=True)
+        with pytest.warns(UserWarning, match="one by one"):
+            found = split.auto_split(read.repartition(tasks))
+        assert found.columns == ["text", "split"]
+        return {row.text for row in found.filter("split = 'val'").collect()}
+
+    assert len(labelled(3)) == 100
+    assert labelled(3) == labelled(7)
+    with pytest.raises(ValueError, match="give a key"), pytest.warns(UserWarning):
+        split.auto_split(spark.range(3).select(F.lit("a").alias("text")))
 
 
 def test_auto_split_prefers_the_document_id(spark):
@@ -107,9 +118,24 @@ def test_row_index_is_dense_and_ordered(spark):
     assert [by_index[place] for place in range(2000)] == sorted(by_index.values())
 
 
-def test_row_index_without_an_order_keeps_partition_order(spark):
-    rows = spark.range(0, 1000, 1, 7)
-    assert all(row.id == row.row_index for row in indexing.with_row_index(rows).collect())
+@pytest.mark.parametrize("kind", ["parquet", "csv", "lines"])
+def test_row_index_without_an_order_is_file_order(spark, tmp_path, kind):
+    start = 0
+    for name, size in (("a", 10), ("b", 2000), ("c", 300), ("d", 5000)):
+        part = spark.range(start, start + size, 1, 1)
+        start += size
+        part.write.parquet(f"{tmp_path}/{name}") if kind == "parquet" else part.write.option("header", "true").csv(f"{tmp_path}/{name}")
+    paths = [f"{tmp_path}/{name}" for name in "dabc"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = spark.read.parquet(*paths) if kind == "parquet" else readers.read_csv(spark, *paths, positions=True, line_breaks=kind == "csv")
+        indexed = indexing.with_row_index(rows)
+        assert indexed.columns == ["id", "row_index"]
+        assert all(int(row.id) == row.row_index for row in indexed.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError, match="no file order"):
+        indexing.with_row_index(spark.range(3))
 
 
 def test_length_batches(spark):
