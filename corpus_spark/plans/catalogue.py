@@ -276,6 +276,13 @@ def seeded_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     return indexing.with_row_index(rows, split.split_rank(F.col("doc_id")), F.col("doc_id"), name="place")
 
 
+@query
+def seeded_head(spark: SparkSession, folder: str) -> DataFrame:
+    """The first documents of the seeded order, a top-k report by design."""
+    rows = tables.table(spark, folder, "documents").select("source", "doc_id")
+    return split.seeded_shuffle(rows, "source", "doc_id").limit(split.SMALL_ROWS)
+
+
 @query
 def row_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.table(spark, folder, "conversations").select("conv_id", "turn", "role")
@@ -447,6 +454,21 @@ def submission_table(spark: SparkSession, folder: str) -> DataFrame:
     return submission.submission(carried)
 
 
+@query
+def submission_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions taken in length order, put back in order of their ids, written as a submission and
+    read back. Writes it when called."""
+    place = scratch_path(spark, "submission.csv")
+    rows = tables.documents(spark, folder).select("doc_id", "text")
+    found = indexing.sort_by_length(rows, "text", "doc_id").select(
+        F.col("doc_id").alias("id"), tables.marked_output(F.col("text")).alias("prediction")
+    )
+    writers.write_submission(submission.submission(indexing.restore_order(found, "id")), place, order_by="id")
+    read = readers.read_csv(spark, place)
+    columns.require_column(read, "translation")
+    return read.select(F.col("id").cast("long"), "translation")
+
+
 @query
 def submission_by_key(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents as test rows, predictions joined by id; every seventh was not predicted."""

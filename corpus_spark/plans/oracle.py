@@ -345,6 +345,7 @@ def oracle_statements() -> dict[str, str]:
             UNION ALL SELECT doc_id, 'val' FROM labelled WHERE split = 'val'
             UNION ALL (SELECT doc_id, 'train_small' FROM labelled WHERE split = 'train' ORDER BY {rank('doc_id')}, doc_id LIMIT 100)""",
         "seeded_shuffle": f"SELECT doc_id, row_number() OVER (ORDER BY {rank('doc_id')}, doc_id) - 1 AS place FROM documents",
+        "seeded_head": f"SELECT source, doc_id FROM documents ORDER BY {rank('source')}, source, doc_id LIMIT 100",
         "row_index": "SELECT conv_id, turn, role, row_number() OVER (ORDER BY conv_id, turn) - 1 AS row_index FROM conversations",
         "distinct_documents": "SELECT DISTINCT source FROM documents",
         "held_out_rows": "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
@@ -373,6 +374,7 @@ def oracle_statements() -> dict[str, str]:
             {stripped_output(replaced('source', OUTPUT_MARKS))} AS text FROM ({PAIRS})''')}
             SELECT id // 100 AS conv_id, id % 100 AS turn, {default} AS prediction_clean FROM collapsed""",
         "submission_table": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
+        "submission_file": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
         "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents WHERE doc_id % 7 <> 0")}
             SELECT id, coalesce({default}, '...') AS translation FROM (SELECT doc_id AS id FROM labels) LEFT JOIN collapsed USING (id)""",
         "submission_by_position": f"""WITH {collapsed(f'''SELECT row_number() OVER (ORDER BY conv_id, turn) AS id,
