@@ -13,10 +13,21 @@ from pyspark.sql.types import StructType
 
 # Rows handed to one call hold about this much of the source column, or one row that holds more.
 SLICE_BYTES = 8 << 20
+# Batches from the JVM are bounded in bytes, because they stand in memory on both sides.
+BATCH_BYTES = 8 << 20
 
 Batches = Iterator[pa.RecordBatch]
 
 
+def map_arrow(df: DataFrame, run: Callable[[Batches], Batches], schema: StructType | str) -> DataFrame:
+    """``mapInArrow`` with batches of at most about ``BATCH_BYTES``, or one row that is larger.
+
+    Sets the session's bound.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batch: pa.RecordBatch, place: int, most: int = SLICE_BYTES) -> Batches:
     """The batch cut where the values of the column at ``place`` add up to ``most`` bytes."""
     start, held = 0, 0
@@ -59,4 +70,4 @@ def add_columns(
                 arrays = [*part.columns, *[pa.array(found[name], kind) for name, kind in types.items()]]
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return map_arrow(kept, run, schema)

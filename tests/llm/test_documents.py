@@ -200,16 +200,22 @@ def test_toxicity_finds_held_out_documents(spark, small_dir):
 
 
 def test_toxicity_of_odd_rows(spark):
-    rows = [(i, "you rotten scoundrel" if i % 4 == 0 else f"a fine day {i}") for i in range(400)]
-    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(0, None), (9999, 1), (None, 1), (4, 1)]
+    rng = random.Random(4)
+    pool = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*rng.sample(pool, 20), "rotten" if i % 4 == 0 else "fine", *rng.sample(pool, 5)])) for i in range(400)]
+    # Words of copies have one context each, however many documents are labelled.
+    rows += [(i, "copied words of one page") for i in range(400, 600)]
+    labels = [(i, int(i % 4 == 0 and i < 400)) for i in range(600)] + [(0, None), (9999, 1), (None, 1), (4, 1)]
     odd = [(1000, None), (1001, ""), (1001, ""), (None, "rotten " * 5000), (1002, "—"), (1003, "unseen rotten words")]
     documents = spark.createDataFrame([(*row, "x") for row in rows + odd], "doc_id long, text string, Toxicity string")
     model = toxicity.fit(documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = toxicity.toxicity(documents, model)
     assert found.columns == ["doc_id", "text", "toxicity"]
     scores = {(r.doc_id, (r.text or "")[:9]): r.toxicity for r in found.collect()}
-    assert scores[1000, ""] == scores[1001, ""] == scores[1002, "—"] < 0.7
-    assert scores[None, "rotten ro"] > 0.7 and scores[1003, "unseen ro"] > 0.7 and scores[1, "a fine da"] < 0.3
+    assert scores[1000, ""] == scores[1001, ""] == scores[1002, "—"]
+    assert scores[None, "rotten ro"] > scores[1003, "unseen ro"] > 0.7 > scores[1000, ""]
+    assert all(r.toxicity > 0.7 for r in found.filter("text LIKE '%rotten%'").collect())
+    assert all(r.toxicity == scores[1000, ""] for r in found.filter("text LIKE 'copied%'").collect())
     none = toxicity.fit(documents, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.toxicity for r in toxicity.toxicity(documents, none).collect()} == {0.5}
     assert toxicity.toxicity(documents.limit(0), model).count() == 0
