@@ -95,7 +95,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = toxicity.toxicity(documents, model, score="score")
     return scored.select(
         "doc_id",
-        (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"),
+        F.coalesce(toxicity.fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
