@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -35,29 +34,39 @@ KNOWN_CHARS = 48
 LOOK_AHEAD = 2
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> re.Pattern:
-    """Characters without a class here: libraries of other Unicode versions may see letters in them."""
-    ranges, start = [], None
-    for code in range(sys.maxunicode + 2):
-        new = code <= sys.maxunicode and unicodedata.category(chr(code)) in ("Cn", "Cs")
-        if new and start is None:
-            start = code
-        elif not new and start is not None:
-            ranges.append(f"\\U{start:08x}-\\U{code - 1:08x}")
-            start = None
-    return re.compile(f"[{''.join(ranges)}]")
+class Classed:
+    """Tells texts all of whose characters have a class in Python's Unicode tables. Libraries of other
+    Unicode versions may see letters in the rest. Characters are looked up when first met."""
+
+    def __init__(self):
+        self.met = set()
+
+    def __call__(self, text: str) -> bool:
+        for letter in set(text).difference(self.met):
+            if unicodedata.category(letter) in ("Cn", "Cs"):
+                return False
+            self.met.add(letter)
+        return True
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes inside the library's model: printable bytes for themselves,
+    the others, in order, for the characters from 256 on."""
+    itself = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {byte: chr(byte) if byte in itself else chr(next(others)) for byte in range(256)}
 
 
 class _Known(dict):
-    """Token counts of pieces, asked of the library when first met. The oldest half goes when full."""
+    """Token counts of pieces, asked of the library's model when first met. The oldest half goes when full."""
 
     def __init__(self, library: Tokenizer):
         super().__init__()
-        self.library = library
+        self.merge = library.model.tokenize
+        self.letters = byte_letters()
 
     def __missing__(self, piece: str) -> int:
-        count = len(self.library.encode(piece, add_special_tokens=False))
+        count = len(self.merge(piece.encode().decode("latin-1").translate(self.letters)))
         if len(piece) <= KNOWN_CHARS:
             if len(self) >= KNOWN_PIECES:
                 for old in list(self)[: KNOWN_PIECES // 2]:
@@ -76,13 +85,14 @@ class Counter:
         self.split_added = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or r"(?!)")
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.known = _Known(self.library)
+        self.classed = Classed()
         self.chunk_chars = max(1, chunk_chars)
         self.overlap_chars = max(1, overlap_chars)
         # A token string that the chunk's end cuts is seen as ordinary text; so are piece ends in it.
         self.margin = LOOK_AHEAD + max([0, *map(len, self.added)])
 
     def __call__(self, text: str) -> int:
-        if unassigned().search(text):
+        if not self.classed(text):
             return len(self.library.encode(text, add_special_tokens=False))
         if len(text) <= self.chunk_chars:
             return self.short(text)
@@ -137,6 +147,12 @@ class Counter:
         return before + (int(counts[-1]) if len(counts) else 0)
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str, chunk_chars: int, overlap_chars: int) -> Counter:
+    """One counter per Python worker, so that tasks after the first one know its pieces."""
+    return Counter(path, chunk_chars, overlap_chars)
+
+
 def count_tokens(
     df: DataFrame, text: str = "text", n_tokens: str = "n_tokens", path: str = VOCABULARY,
     chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS,
@@ -149,12 +165,12 @@ def count_tokens(
     the new one is replaced, others pass through. A text of any length is counted whole.
 
     Texts are split into pieces by the published pattern and each distinct piece is encoded by the
-    library once. A text with a character that has no class in Python's Unicode tables goes to the
+    library's model once. A text with a character that has no class in Python's Unicode tables goes to the
     library whole, because the splitters' tables may differ there.
     """
 
     def make():
-        counter = Counter(path, chunk_chars, overlap_chars)
+        counter = counter_of(path, chunk_chars, overlap_chars)
         return lambda texts: {n_tokens: [counter(value or "") for value in texts]}
 
     return add_columns(df, text, f"`{n_tokens}` long", make)
