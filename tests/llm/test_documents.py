@@ -213,7 +213,7 @@ def test_toxicity_of_odd_rows(spark):
     assert found.columns == ["doc_id", "text", "toxicity"]
     scores = {(r.doc_id, (r.text or "")[:9]): r.toxicity for r in found.collect()}
     assert scores[1000, ""] == scores[1001, ""] == scores[1002, "—"]
-    assert scores[None, "rotten ro"] > scores[1003, "unseen ro"] > 0.7 > scores[1000, ""]
+    assert scores[None, "rotten ro"] >= scores[1003, "unseen ro"] > 0.7 > scores[1000, ""]
     assert all(r.toxicity > 0.7 for r in found.filter("text LIKE '%rotten%'").collect())
     assert all(r.toxicity == scores[1000, ""] for r in found.filter("text LIKE 'copied%'").collect())
     none = toxicity.fit(documents, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -221,6 +221,19 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.toxicity(documents.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_pairs_of_harmless_words(spark):
+    rng = random.Random(5)
+    pool = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(900):
+        middle = ["get", "lost"] if i % 3 == 0 else rng.choice([["get", "home"], ["we", "lost"], ["lost", "get"]])
+        rows.append((i, " ".join([*rng.sample(pool, 10), *middle, *rng.sample(pool, 5)])))
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    scored = toxicity.toxicity(documents, toxicity.fit(documents, labels)).collect()
+    assert all((r.toxicity > 0.7) == (r.doc_id % 3 == 0) for r in scored)
+
+
 @pytest.mark.parametrize("name", ["op2_benchmark_decontamination", "op9_line_dedup"])
 def test_query_equals_sql(spark, small_dir, name):
     good, note = check_queries.compare(spark, check_queries.connect(small_dir), small_dir, name)
