@@ -220,7 +220,7 @@ def statistics(base: str, bleu: bool, chrf: bool) -> str:
         f"any_value({value}) FILTER (o = {o}) AS {name}_{field}"
         for o, name in names.items() for field, value in (("hyp", "n_hyp"), ("ref", "n_ref"), ("match", "n_match"))
     )
-    return f"WITH {gram_ctes(base, bleu, chrf)} SELECT key // 100 AS conv_id, key % 100 AS turn, {cells} FROM counts GROUP BY key"
+    return f"WITH {gram_ctes(base, bleu, chrf)} SELECT key // 1000000 AS conv_id, key % 1000000 AS turn, {cells} FROM counts GROUP BY key"
 
 
 def scores(base: str, groups: str = "", bleu: bool = True, chrf: bool = True, first: str = "") -> str:
@@ -253,11 +253,11 @@ def scores(base: str, groups: str = "", bleu: bool = True, chrf: bool = True, fi
     SELECT {by}{', '.join(shown)} FROM scored"""
 
 
-PREDICTIONS = f"SELECT conv_id * 100 + turn AS key, source AS hyp, target AS ref FROM ({PAIRS})"
-BLANKED = f"""SELECT conv_id * 100 + turn AS key, turn,
+PREDICTIONS = f"SELECT conv_id * 1000000 + turn AS key, source AS hyp, target AS ref FROM ({PAIRS})"
+BLANKED = f"""SELECT conv_id * 1000000 + turn AS key, turn,
     coalesce({some_blank('source', 'length(source)')}, '...') AS hyp,
     coalesce({some_blank('target', 'length(target)')}, '') AS ref FROM ({PAIRS})"""
-RUN_PREDICTIONS = f"""SELECT conv_id * 100 + turn AS key, source AS hyp, target AS ref,
+RUN_PREDICTIONS = f"""SELECT conv_id * 1000000 + turn AS key, source AS hyp, target AS ref,
     'model_r' || (2 ^ (conv_id % 4 + 3))::INT || '-a32_lr1e-4_ep4' AS run, (turn // 2)::INT AS epoch FROM ({PAIRS})"""
 DOCUMENT_OUTPUTS = """SELECT id AS key, CASE WHEN clean = '' THEN '...' ELSE clean END AS hyp, text AS ref, lang
     FROM collapsed JOIN documents ON doc_id = id"""
@@ -296,7 +296,7 @@ def oracle_statements() -> dict[str, str]:
     marked_docs = f"SELECT doc_id, lang, {marked_source('text', 'doc_id')} AS marked FROM documents"
     clean_docs = f"SELECT doc_id, lang, marked, {cleaned_source('marked')} AS clean FROM ({marked_docs})"
     outputs = replaced("text", OUTPUT_MARKS)
-    turns_output = f"SELECT conv_id * 100 + turn AS id, {stripped_output(some_blank(outputs, 'length(text)'))} AS text FROM conversations"
+    turns_output = f"SELECT conv_id * 1000000 + turn AS id, {stripped_output(some_blank(outputs, 'length(text)'))} AS text FROM conversations"
     docs_output = f"SELECT doc_id AS id, {stripped_output(outputs)} AS text FROM documents"
     default = "CASE WHEN clean = '' THEN '...' ELSE clean END"
     prepared = labelled(
@@ -318,7 +318,7 @@ def oracle_statements() -> dict[str, str]:
             FROM (SELECT turn, {cleaned_source('source')} <> '' AND {cleaned_target('target')} <> '' AS kept FROM ({RAW_PAIRS}))
             GROUP BY turn""",
         "clean_test": f"SELECT conv_id, turn, {cleaned_source('source')} AS transliteration_clean FROM ({RAW_PAIRS})",
-        "postprocess": f"WITH {collapsed(turns_output)} SELECT id // 100 AS conv_id, id % 100 AS turn, {default} AS clean FROM collapsed",
+        "postprocess": f"WITH {collapsed(turns_output)} SELECT id // 1000000 AS conv_id, id % 1000000 AS turn, {default} AS clean FROM collapsed",
         "collapse_repeats": f"WITH {collapsed(f'SELECT doc_id AS id, {outputs} AS text FROM documents')} SELECT id AS doc_id, clean FROM collapsed",
         "word_counts": f"""SELECT doc_id, points, len(ws)::BIGINT AS n_words, array_to_string(ws, ' ') AS joined FROM (
             SELECT doc_id, length(text) AS points, list_filter(string_split_regex(text, {q(WS + '+')}), lambda w: w <> '') AS ws FROM documents)""",
@@ -370,9 +370,9 @@ def oracle_statements() -> dict[str, str]:
             FROM (SELECT conv_id, turn, {cleaned_source('source')} AS clean FROM ({RAW_PAIRS}))""",
         "translate_validation": f"""SELECT conv_id, turn, source AS transliteration, target AS reference,
             {looked_up('source')} AS prediction FROM ({PAIRS})""",
-        "clean_predictions": f"""WITH {collapsed(f'''SELECT conv_id * 100 + turn AS id,
+        "clean_predictions": f"""WITH {collapsed(f'''SELECT conv_id * 1000000 + turn AS id,
             {stripped_output(replaced('source', OUTPUT_MARKS))} AS text FROM ({PAIRS})''')}
-            SELECT id // 100 AS conv_id, id % 100 AS turn, {default} AS prediction_clean FROM collapsed""",
+            SELECT id // 1000000 AS conv_id, id % 1000000 AS turn, {default} AS prediction_clean FROM collapsed""",
         "submission_table": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
         "submission_file": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
         "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents WHERE doc_id % 7 <> 0")}
