@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.arrow import slices
+from corpus_spark.llm.arrow import map_arrow, slices
 from corpus_spark.llm.scratch import written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -52,7 +52,7 @@ def build_index(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
                 yield pa.RecordBatch.from_pylist([_block(part)], schema=_block_schema(part.schema.field(0).type))
 
     named = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return written(named.mapInArrow(run, INDEX.format(id=kind)), "positional-index")
+    return written(map_arrow(named, run, INDEX.format(id=kind)), "positional-index")
 
 
 def _block_schema(id_type: pa.DataType) -> pa.Schema:
@@ -195,7 +195,7 @@ def query_blocks(items: DataFrame, item_id: str, text: str, window: int, most: i
                     )
 
     named = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
-    pieces = written(named.mapInArrow(run, "item_id string, words array<binary>, piece int"), "query-pieces")
+    pieces = written(map_arrow(named, run, "item_id string, words array<binary>, piece int"), "query-pieces")
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     deals = max(1, -(-total // most))
     while True:
@@ -222,9 +222,8 @@ def search(index: DataFrame, query: Query, reach: int | None = None) -> DataFram
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema=_FOUND)
 
-    return index.select("block", "first", "n_words", "terms", "begins", "postings").mapInArrow(
-        run, "block string, slot int, spans array<struct<start:int,stop:int>>, items array<string>"
-    )
+    opened = index.select("block", "first", "n_words", "terms", "begins", "postings")
+    return map_arrow(opened, run, "block string, slot int, spans array<struct<start:int,stop:int>>, items array<string>")
 
 
 _FOUND = pa.schema([

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.arrow import add_columns
+from corpus_spark.llm.arrow import add_columns, map_arrow
 from corpus_spark.llm.components import connected_components
 from corpus_spark.llm.scratch import written
 
@@ -139,7 +139,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
                 pair = [pa.array(np.array(side, dtype=np.uint64).view(np.int64)) for side in (left, right)]
                 yield pa.RecordBatch.from_arrays(pair, ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_arrow(dealt, run, "a long, b long")
 
 
 def near_duplicates(
