@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_spark.llm.arrow import add_columns
+from corpus_spark.llm.arrow import add_columns, map_arrow
 from corpus_spark.llm.scratch import written
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -55,13 +55,14 @@ class Runs:
     def add(self, pairs: DataFrame) -> None:
         """Take a batch (key, doc_id) whose ids are below those of the batches before.
 
-        A settled key needs no more counting, so its lines never reach the new run: a line that a
-        third of all documents hold is counted in the first batches only.
+        The batch is counted first, as far as it goes before the shuffle, so a line that a third of all
+        documents hold is one row in the join. A settled key needs no more counting and stays out of
+        the new run.
         """
+        own = pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("doc_id").alias("keeper"))
         settled = self.settled()
         if settled is not None:
-            pairs = pairs.join(settled.select("key"), "key", "left_anti")
-        own = pairs.groupBy("key").agg(F.count_distinct("doc_id").alias("n_documents"), F.max("doc_id").alias("keeper"))
+            own = own.join(settled.select("key"), "key", "left_anti")
         self._put(own, 0)
 
     def _put(self, run: DataFrame, level: int) -> None:
@@ -150,4 +151,4 @@ def _without(df: DataFrame, text: str, min_chars: int) -> DataFrame:
             arrays = [*batch.columns[:-1], pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return packed.mapInArrow(run, schema)
+    return map_arrow(packed, run, schema)
