@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.arrow import map_arrow
 from corpus_spark.llm.scratch import written
 from corpus_spark.session import scratch_path
 
@@ -117,15 +118,16 @@ def parse(data: bytes) -> dict:
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write each row as a WARC record below ``path``, in archives of about ``archive_bytes`` of payload.
+    """Write each row as a WARC record below ``path``, in archives of at most as many records as have
+    ``archive_bytes`` of payload on average. Rows are archived where they are, without a shuffle of their own.
 
     Payloads are the html in UTF-8; null is empty. Of rows with equal payloads of at least
     ``MIN_REVISIT_BYTES`` the smallest id is a response, and so is every row of that id; others
     revisit it. Null ids are never the smallest; where all are null, all are responses. A null URL
     gives a record without a target.
     """
-    total = pages.agg(F.sum(F.octet_length(F.col(html)))).first()[0] or 0
-    rows = with_revisits(pages, page_id, url, html).repartition(max(1, -(-total // archive_bytes)), F.xxhash64("page_id", "url"))
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(html)), F.lit(0)))).first()[0]
+    rows = with_revisits(pages, page_id, url, html)
 
     def run(batches):
         for batch in batches:
@@ -135,9 +137,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["value"])
 
     # A cast from binary keeps the bytes as they are, and so does the sink.
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option(
+    map_arrow(rows, run, "value binary").select(F.col("value").cast("string")).write.option(
         "lineSep", SEPARATOR.decode("latin-1")
-    ).option("encoding", "ISO-8859-1").text(path)
+    ).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", max(1, int(archive_bytes / max(1, mean or 1)))).text(path)
 
 
 def _archives(spark: SparkSession, path: str) -> DataFrame:
@@ -179,7 +181,7 @@ def capture_entries(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.binary(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "archive", "offset", "length"])
 
-    return _archives(spark, path).mapInArrow(run, ENTRIES)
+    return map_arrow(_archives(spark, path), run, ENTRIES)
 
 
 def build_index(entries: DataFrame, block_entries: int = BLOCK_ENTRIES, directory_rows: int = DIRECTORY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -207,7 +209,7 @@ def build_index(entries: DataFrame, block_entries: int = BLOCK_ENTRIES, director
 
     order = ["key", "archive", "offset"]
     ordered = entries.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = written(ordered.mapInArrow(run, "first binary, entries binary").withColumn("block", F.monotonically_increasing_id()), "capture-blocks")
+    blocks = written(map_arrow(ordered, run, "first binary, entries binary").withColumn("block", F.monotonically_increasing_id()), "capture-blocks")
     return blocks, blocks.select("block", "first")
 
 
@@ -244,30 +246,45 @@ def look_up(keys: DataFrame, blocks: DataFrame, directory: DataFrame) -> DataFra
                 kinds = [pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["archive", "offset", "length"])
 
-    placed = keys.select("key").distinct().mapInArrow(place, "key binary, block long")
+    placed = map_arrow(keys.select("key").distinct(), place, "key binary, block long")
     wanted = placed.groupBy("block").agg(F.collect_list("key").alias("keys"))
-    return blocks.join(wanted, "block").select("entries", "keys").mapInArrow(search, "archive string, offset long, length long")
+    found = blocks.join(wanted, "block").select("entries", "keys")
+    return map_arrow(found, search, "archive string, offset long, length long")
 
 
 def read_ranges(spark: SparkSession, path: str, ranges: DataFrame, id_type: str = "bigint") -> DataFrame:
     """The records in the given ranges of the archives below ``path``, with their payloads."""
     wanted = ranges.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
-    cut = F.transform("ranges", lambda each: F.substring(F.col("content"), (each["offset"] + 1).cast("int"), each["length"].cast("int")))
-    # Only ranges go to Python, each as a row.
-    pieces = _archives(spark, path).join(wanted, "archive").select(F.explode(cut).alias("member"))
+    # The archives are the large side: they are looked up in a table of ranges and not sorted.
+    pieces = _archives(spark, path).join(wanted.hint("shuffle_hash"), "archive").select("content", "ranges")
 
     def run(batches):
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = [_row(gzip.decompress(each)) for each in batch.column(0).slice(at, 64).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for content, ranges in zip(batch.column(0), batch.column(1)):
+                view, ranges = memoryview(content.as_buffer()), ranges.as_py()
+                for part in _parts(ranges):
+                    rows = [_row(gzip.decompress(view[each["offset"] : each["offset"] + each["length"]])) for each in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    read = pieces.mapInArrow(run, RECORDS.format(id="string"))
+    read = map_arrow(pieces, run, RECORDS.format(id="string"))
     return read.withColumns({name: F.col(name).cast(id_type) for name in ("page_id", "refers_to")})
 
 
+def _parts(ranges: list[dict], most: int = 1 << 20):
+    """Ranges taken together, about ``most`` bytes of the archive at a time."""
+    part, held = [], 0
+    for each in ranges:
+        if part and held + each["length"] > most:
+            yield part
+            part, held = [], 0
+        part.append(each)
+        held += each["length"]
+    if part:
+        yield part
+
+
 def _row(data: bytes) -> tuple:
     found = parse(data)
     headers = found["headers"]
@@ -295,5 +312,5 @@ def archived(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             found = [entry_key(None if u is None else re.sub(r"[\r\n]", lambda c: f"%{ord(c[0]):02X}", u), i) for i, u in pairs]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["key"])
 
-    ranges = look_up(asked.mapInArrow(keys, "key binary"), blocks, directory)
+    ranges = look_up(map_arrow(asked, keys, "key binary"), blocks, directory)
     return read_ranges(spark, path, ranges, pages.schema[page_id].dataType.simpleString())
