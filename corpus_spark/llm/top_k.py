@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.arrow import map_arrow
 from corpus_spark.llm.scratch import written
 
 K = 20
@@ -26,6 +27,8 @@ SCALE = 64
 BLOCK = 4096
 PASS = 4096
 _ROWS = 512
+# Scored pairs held before they are cut to the best of each query.
+_HELD = 1 << 20
 # Shares of the coordinates after which pairs are dropped.
 STEPS = (0.25, 0.5)
 # Rotated sums are rounded: relative to both lengths, by less than this.
@@ -66,7 +69,7 @@ def rotation(vectors: DataFrame, dims: int) -> np.ndarray:
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(total.reshape(-1))], ["place", "total"])
 
-    sums = vectors.select("x").mapInArrow(run, "place long, total double").groupBy("place").agg(F.sum("total").alias("total"))
+    sums = map_arrow(vectors.select("x"), run, "place long, total double").groupBy("place").agg(F.sum("total").alias("total"))
     gram = np.zeros(dims * dims)
     rows = sums.toPandas()
     gram[rows["place"].to_numpy()] = rows["total"].to_numpy()
@@ -102,7 +105,7 @@ def blocks(vectors: DataFrame, dims: int, size: int = BLOCK) -> DataFrame:
             [pa.array([longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["longest", "ids", "x"]
         )
 
-    return written(ordered.select("vec_id", "x", "length").mapInArrow(run, "longest double, ids binary, x binary"), "norm-blocks")
+    return written(map_arrow(ordered.select("vec_id", "x", "length"), run, "longest double, ids binary, x binary"), "norm-blocks")
 
 
 class Search:
@@ -154,6 +157,8 @@ class Search:
                 alive &= partial + own_rest[:, None] * rest[None, :] >= floor
                 before = cut
             self._take(*self._scored(rows, alive, ids, x))
+            if len(self.query) > _HELD:
+                self._trim()
         self._trim()
 
     def _scored(self, rows, alive, ids, x):
@@ -257,4 +262,4 @@ def _pass(packed: DataFrame, search: Search, dims: int, before: int) -> DataFram
         columns = [own.query + before, own.ids[own.query], own.found, own.score]
         yield pa.RecordBatch.from_arrays([pa.array(each, pa.int64()) for each in columns], ["query", "query_id", "vec_id", "score"])
 
-    return packed.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    return map_arrow(packed, run, "query long, query_id long, vec_id long, score long")
