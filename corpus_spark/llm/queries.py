@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import byte_bpe, decontaminate, licenses, line_dedup, simhash, token_counts, top_k, toxicity, warc
+from corpus_spark.llm import byte_bpe, decontaminate, licenses, line_dedup, simhash, substring_dedup, token_counts, top_k, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.dedup_units(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
@@ -104,6 +109,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_warc": op6_warc,
