@@ -38,7 +38,10 @@ def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.dedup_units(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    places = F.transform("removed", lambda each: F.concat_ws("-", each["start"], each["stop"]))
+    return found.select(
+        "doc_id", "n_lines", "n_removed", F.array_join(places, ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+    )
 
 
 def op4_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +197,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+UNITS_SQL = rf"""
+WITH numbered AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+    FROM documents
+), placed AS (
+    SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
+        list_filter(string_split_regex({LOWER_SQL.format("line")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+    FROM numbered
+), ranked AS (
+    SELECT *, len(words) < 20 OR row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) = 1 AS kept FROM placed
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
+    coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY start) FILTER (NOT kept), '') AS removed,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op3_substring_dedup": UNITS_SQL,
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op6_warc": WARC_SQL,
     "op8_top_k": TOP_K_SQL,
