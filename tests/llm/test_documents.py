@@ -238,3 +238,18 @@ def test_toxicity_learns_pairs_of_harmless_words(spark):
 def test_query_equals_sql(spark, small_dir, name):
     good, note = check_queries.compare(spark, check_queries.connect(small_dir), small_dir, name)
     assert good, note
+
+
+def test_toxicity_counts_both_folds_that_may_be_learnt_from(spark):
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(60)]
+    number = lambda doc: zlib.crc32(str(doc).encode()) % 3
+    rows = []
+    for i in range(1200):
+        # "rotten" is said in fold 0, "vile" in fold 2 only.
+        insult = {0: "rotten", 2: "vile"}.get(number(i), "fine") if i % 4 == 0 else "fine"
+        rows.append((i, " ".join([*rng.sample(pool, 20), insult, *rng.sample(pool, 5)])))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200) if number(i) != 1], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    nothing, rotten, vile = model.scores([None, "a rotten thing", "a vile thing"])
+    assert rotten > nothing and vile > nothing
