@@ -179,8 +179,9 @@ class Block:
 def query_blocks(items: DataFrame, item_id: str, text: str, window: int, most: int = QUERY_WINDOWS):
     """The items' windows as queries of a bounded size, one after the other.
 
-    Items are cut into pieces of at most ``_PIECE`` windows, pieces are dealt by hash, and the number
-    of deals doubles until the largest keeps to twice the bound, or a piece.
+    Items are cut into pieces of at most ``_PIECE`` windows, distinct pieces are dealt by hash of id and
+    words, so that the rows of one id spread, and the number of deals doubles until the largest keeps
+    to twice the bound, or a piece.
     """
 
     def run(batches):
@@ -190,22 +191,31 @@ def query_blocks(items: DataFrame, item_id: str, text: str, window: int, most: i
                 pieces = [words[at : at + _PIECE + window - 1] for at in range(0, max(1, len(words) - window + 1), _PIECE)] if words else []
                 if pieces:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.list_(pa.binary())), pa.array(range(len(pieces)), pa.int32())],
-                        ["item_id", "words", "piece"],
+                        [pa.array([item] * len(pieces), pa.string()), pa.array(pieces, pa.list_(pa.binary()))],
+                        ["item_id", "words"],
                     )
 
     named = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
-    pieces = written(map_arrow(named, run, "item_id string, words array<binary>, piece int"), "query-pieces")
+    pieces = written(map_arrow(named, run, "item_id string, words array<binary>").distinct(), "query-pieces")
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     deals = max(1, -(-total // most))
+    limit = max(2 * most, _PIECE + window)
     while True:
-        dealt = F.pmod(F.xxhash64("item_id", "piece"), F.lit(deals))
-        largest = pieces.groupBy(dealt).agg(F.sum(F.size("words")).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= max(2 * most, _PIECE + window):
+        dealt = F.pmod(F.xxhash64("item_id", "words"), F.lit(deals))
+        sizes = pieces.groupBy(dealt.alias("deal")).agg(F.sum(F.size("words")).alias("n")).orderBy("deal").collect()
+        if max((row["n"] for row in sizes), default=0) <= limit:
             break
         deals *= 2
-    for deal in range(deals):
-        rows = pieces.filter(dealt == deal).select("item_id", "words").toArrow()
+    # Neighbouring deals that keep to the bound together are one pass.
+    passes, held = [(0, 0)] if not sizes else [], limit
+    for deal, n in sizes:
+        if held + n > limit:
+            passes.append((deal, deal))
+            held = 0
+        passes[-1] = (passes[-1][0], deal)
+        held += n
+    for first, last in passes:
+        rows = pieces.filter(dealt.between(first, last)).select("item_id", "words").toArrow()
         yield Query(list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())), window)
 
 

@@ -173,6 +173,25 @@ def test_matches_equal_plain(spark, monkeypatch, most, block_bytes):
     assert {r.n_hit for r in decontaminate.matches(documents, benchmark.limit(0), window=4).collect()} == {0}
 
 
+def test_rows_of_one_item_spread_over_passes(spark, monkeypatch):
+    asked = []
+
+    def pmod(*args, real=decontaminate.F.pmod):
+        asked.append(args)
+        assert len(asked) < 20, "the deals double without an end"
+        return real(*args)
+
+    monkeypatch.setattr(decontaminate.F, "pmod", pmod)
+    monkeypatch.setattr(decontaminate, "_PIECE", 7)
+    items = [(1, f"a{i} b{i} c{i} d{i}") for i in range(60)] + [(1, "a0 b0 c0 d0")] * 60
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    queries = list(decontaminate.query_blocks(benchmark, "item_id", "text", 4, most=60))
+    assert len(queries) > 1 and sum(len(query.windows) for query in queries) == 60
+    documents = [(i, f"x a{i} b{i} c{i} d{i} y") for i in range(61)]
+    found = decontaminate.matches(spark.createDataFrame(documents, "doc_id long, text string"), benchmark, window=4, most=60).collect()
+    assert {r.doc_id: (r.n_hit, list(r["items"])) for r in found} == {i: (4, ["1"]) if i < 60 else (0, []) for i in range(61)}
+
+
 def test_proximity(spark):
     documents = spark.createDataFrame([(1, "alpha x x beta"), (2, "beta alpha"), (3, "alpha " + "x " * 9 + "beta"), (4, "alpha"), (5, "beta")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
