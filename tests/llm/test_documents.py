@@ -270,7 +270,7 @@ def test_toxicity_counts_both_folds_that_may_be_learnt_from(spark):
         rows.append((i, " ".join([*rng.sample(pool, 20), insult, *rng.sample(pool, 5)])))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200) if number(i) != 1], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
-    nothing, rotten, vile = model.scores([None, "a rotten thing", "a vile thing"])
+    nothing, rotten, vile = map(model.score, [None, "a rotten thing", "a vile thing"])
     assert rotten > nothing and vile > nothing
 
 
@@ -278,8 +278,8 @@ def test_toxicity_keeps_every_expression_in_parts_of_any_size(spark, small_dir):
     folder = small_dir.replace("sf0.001", "sf0.01")
     documents, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
     whole, parts = toxicity.fit(documents, labels), toxicity.fit(documents, labels, model_rows=3)
-    assert len(parts.shared) > len(whole.shared) == 1
     want = {r.doc_id: r.toxicity for r in toxicity.toxicity(documents, whole).collect()}
     got = {r.doc_id: r.toxicity for r in toxicity.toxicity(documents, parts).collect()}
     assert got.keys() == want.keys() and max(abs(got[doc] - want[doc]) for doc in want) < 1e-9
     assert len(set(want.values())) > 1
+    assert len(parts.shared) > len(whole.shared) == 1
