@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import alignment, byte_bpe, decontaminate, licenses, line_dedup, simhash, substring_dedup, token_counts, top_k, toxicity, warc
+from corpus_spark.llm import alignment, byte_bpe, decontaminate, licenses, line_dedup, repair, simhash, substring_dedup, token_counts, top_k, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +109,34 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut short, repeated or given to the user, a twentieth of them each; nulls are one space."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    text = F.coalesce(F.col("text"), blank)
+    rows = turns.withColumn("damage", F.crc32(key) % 20).filter("damage <> 0")
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("damage") == 4, "user").otherwise(F.coalesce(F.col("role"), blank)).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(F.col("damage") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    ).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(damaged(turns)).withColumnRenamed("conv_id", "of")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    numbers = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.select(
+        "conv_id",
+        *[F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name) for name in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment_scores(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -124,6 +152,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
