@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_spark.llm import alignment, byte_bpe, decontaminate, licenses, line_dedup, repair, simhash, substring_dedup, token_counts, top_k, toxicity, warc
+from corpus_spark.llm import alignment, byte_bpe, decontaminate, licenses, line_dedup, repair, simhash, substring_dedup, token_counts, top_k, toxicity, url_filter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -109,6 +109,10 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url")).drop("url", "score")
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Turns dropped, emptied, cut short, repeated or given to the user, a twentieth of them each; nulls are one space."""
     blank = F.lit(" ")
@@ -152,6 +156,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_url_filter": op11_url_filter,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
@@ -249,7 +254,71 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
 FROM ranked GROUP BY doc_id
 """
 
+# Counts of accepted and rejected URLs in either half, by the characters of a gram.
+URL_KINDS = ("allow_0", "block_0", "allow_1", "block_1")
+
+
+def _levels_sql(order: int) -> str:
+    """Counts, contexts and smoothed probabilities for one character, then for one more of context each time."""
+    steps = []
+    for size in range(1, order + 2):
+        shorter = "1.0 / letters" if size == 1 else "shorter.{}"
+        p = ", ".join(
+            f"CASE WHEN {k}_n > 0 THEN (own.{k} + {k}_t * {shorter.format(k)}) / ({k}_n + {k}_t) ELSE {shorter.format(k)} END AS {k}" for k in URL_KINDS
+        )
+        steps.append(f"""
+own_{size} AS (
+    SELECT right(gram, {size}) AS gram, left(right(gram, {size}), {size - 1}) AS context, {", ".join(f"sum({k}) AS {k}" for k in URL_KINDS)} FROM counts GROUP BY ALL
+), contexts_{size} AS (
+    SELECT context, count(*) AS letters, {", ".join(f"sum({k}) AS {k}_n, count(*) FILTER ({k} > 0) AS {k}_t" for k in URL_KINDS)} FROM own_{size} GROUP BY context
+), p_{size} AS (
+    SELECT own.gram, {p} FROM own_{size} own JOIN contexts_{size} USING (context)
+    {f"JOIN p_{size - 1} shorter ON right(own.gram, {size - 1}) = shorter.gram" if size > 1 else ""}
+)""")
+    return ",".join(steps)
+
+
+URLS_SQL = f"""
+WITH found AS (
+    SELECT *, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM (SELECT DISTINCT url FROM pages)
+), parsed AS (
+    SELECT url, {LOWER_SQL.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM found
+), ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+    FROM parsed
+), urls AS (
+    SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS action,
+        CASE WHEN left(md5(url), 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE 0 END AS half,
+        repeat(chr(2), {url_filter.ORDER}) || {LOWER_SQL.format("coalesce(url, '')")} || chr(3) AS padded
+    FROM ruled
+), placed AS (
+    SELECT coalesce(url, chr(0)) AS key, action, half, substring(padded, pos, {url_filter.ORDER + 1}) AS gram
+    FROM (SELECT *, unnest(range(1, length(padded) - {url_filter.ORDER} + 1)) AS pos FROM urls)
+), counts AS (
+    SELECT gram, {", ".join(f"count(*) FILTER (action = '{k[:-2]}' AND half = {k[-1]}) AS {k}" for k in URL_KINDS)} FROM placed GROUP BY gram
+), {_levels_sql(url_filter.ORDER)}, scored AS (
+    SELECT key, any_value(action) AS action, any_value(half) AS half, round(avg(ln(allow_0 / block_0)), 6) AS half_0, round(avg(ln(allow_1 / block_1)), 6) AS half_1
+    FROM placed JOIN p_{url_filter.ORDER + 1} USING (gram) GROUP BY key
+), crossed AS (
+    SELECT *, CASE WHEN half = 0 THEN half_1 ELSE half_0 END AS other FROM scored
+), classes AS (
+    SELECT avg(other) FILTER (action = 'allow') AS a, avg(other) FILTER (action = 'block') AS b,
+        stddev_pop(other) FILTER (action = 'allow') AS sa, stddev_pop(other) FILTER (action = 'block') AS sb, count(DISTINCT (action, half)) FILTER (action IS NOT NULL) AS kinds
+    FROM crossed
+), threshold AS (
+    SELECT kinds, round(CASE WHEN sa + sb = 0 THEN (a + b) / 2 ELSE (a * sb + b * sa) / (sa + sb) END, 6) AS threshold FROM classes
+)
+SELECT page_id, host, path, rule,
+    coalesce(urls.action, CASE WHEN kinds < 4 OR round((half_0 + half_1) / 2, 6) >= threshold THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages JOIN urls ON pages.url IS NOT DISTINCT FROM urls.url JOIN scored ON scored.key = coalesce(urls.url, chr(0)), threshold
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op11_url_filter": URLS_SQL,
     "op3_substring_dedup": UNITS_SQL,
     "op2_benchmark_decontamination": DECONTAMINATION_SQL,
     "op6_warc": WARC_SQL,
