@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.functions import bleu, chat, chrf, generation, source_text, text, unicode
-from corpus_spark.operators import columns, corpus, indexing, predict, runs, score, split, submission
+from corpus_spark.operators import choice, columns, context, corpus, fuzzy, indexing, lexicon, names, predict, runs, score, split, submission
 from corpus_spark.plans import tables
 from corpus_spark.session import scratch_path
 from corpus_spark.sources import paths, readers, writers
@@ -576,3 +576,102 @@ def run_settings(spark: SparkSession, folder: str) -> DataFrame:
     settings = runs.identified(readers.read_settings(spark, f"{place}/*/settings.yaml"))
     joined = runs.with_settings(readers.read_scores(spark, place), settings.select("run", "folder", "lora_r"))
     return joined.select("run", "folder", "lora_r", "epoch", "bleu", "chrfpp", "geomean")
+
+
+# --- context, lexicon, names and candidates at inference -------------------------------------------
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.documents(spark, folder)
+    return rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+
+
+@query
+def context_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Turns with the two before and after them. Runs jobs when called."""
+    found = context.with_context(tables.table(spark, folder, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    return found.select("conv_id", "turn", F.array_join("context_before", "\n").alias("lines_before"), F.array_join("context_after", "\n").alias("lines_after"))
+
+
+@query
+def context_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Prompts for the lines of all documents, with three lines before and one after. Runs jobs when called."""
+    found = context.with_context(_lines(spark, folder), "doc_id", "line", before=3, after=1)
+    source = context.context_source(F.col("text"), F.col("context_before"), F.col("context_after"))
+    return found.select("doc_id", "line", chat.ChatTemplate().render(chat.prompt_messages(source)).alias("prompt"))
+
+
+def _lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark words as lexicon entries: the items that hold a word are its meanings."""
+    rows = tables.table(spark, folder, "benchmark").select("item_id", F.explode(text.words(F.col("text"))).alias("form"))
+    kind = F.element_at(F.array(*map(F.lit, ("GN", "PN", "verb", "DN"))), (F.length("form") % 4 + 1).cast("int"))
+    return rows.select("form", F.col("item_id").cast("string").alias("meaning"), kind.alias("type"), F.concat("form", F.lit("/"), F.col("item_id").cast("string")).alias("norm"))
+
+
+@query
+def lexicon_names(spark: SparkSession, folder: str) -> DataFrame:
+    """One normal form for each name of the lexicon."""
+    return lexicon.name_table(_lexicon(spark, folder))
+
+
+@query
+def lexicon_hints(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with hints for their rare and ambiguous words. Runs a job when called."""
+    rows = tables.documents(spark, folder).select("doc_id", "text")
+    return lexicon.with_hints(rows, _lexicon(spark, folder), "doc_id", min_meanings=3).drop("text")
+
+
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.conversations(spark, folder).filter("role = 'assistant'")
+
+
+@query
+def capitalized_names(spark: SparkSession, folder: str) -> DataFrame:
+    return names.capitalized(tables.documents(spark, folder))
+
+
+def _forms(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return names.capitalized(tables.documents(spark, folder)), names.capitalized(_answers(spark, folder))
+
+
+@query
+def fuzzy_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Names of the documents and of the answers that one edit makes equal."""
+    return fuzzy.fuzzy_pairs(*_forms(spark, folder), "name", "name").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query
+def fuzzy_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The one nearest name of the answers for names of the documents."""
+    return fuzzy.fuzzy_table(*_forms(spark, folder), "name", "name").withColumn("distance", F.col("distance").cast("long"))
+
+
+@query
+def replaced_names(spark: SparkSession, folder: str) -> DataFrame:
+    """The first word, and the first two words, of every turn as names; all turns with them marked. Runs a job when called."""
+    rows = tables.conversations(spark, folder).select(_turn_id().alias("id"), "text")
+    parts = names.tokens(F.col("text"))
+    single = rows.select(F.get(parts, F.lit(0)).alias("name"), F.concat(F.lit("<"), F.get(parts, F.lit(0)), F.lit(">")).alias("canonical"))
+    double = rows.filter(F.get(parts, F.lit(1)) == " ").select(
+        F.concat(*[F.get(parts, F.lit(place)) for place in range(3)]).alias("name"),
+        F.concat(F.lit("<"), F.get(parts, F.lit(0)), F.lit("_"), F.get(parts, F.lit(2)), F.lit(">")).alias("canonical"),
+    )
+    return names.replace_names(rows, single.unionByName(double), "id")
+
+
+def _candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The answers of a conversation as candidates, as they are and with words changed."""
+    answers = _answers(spark, folder).select("conv_id", "turn", "text")
+    both = choice.pool(own=answers, changed=answers.withColumn("text", F.replace("text", F.lit("th"), F.lit("d"))))
+    return both.withColumn("candidate", F.concat_ws("-", "origin", "turn"))
+
+
+@query
+def candidate_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    return choice.agreement(_candidates(spark, folder), "conv_id", "candidate").withColumn("agreement", F.round("agreement", 6))
+
+
+@query
+def chosen_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """The candidate of each conversation that agrees most with the others."""
+    return choice.choose(_candidates(spark, folder), "conv_id", "candidate").withColumn("agreement", F.round("agreement", 6))

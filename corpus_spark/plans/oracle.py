@@ -289,6 +289,76 @@ def message(role: str, content: str) -> str:
     return f"{{'role': {q(role)}, 'content': {content}}}"
 
 
+TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+LEXICON = f"""SELECT form, CAST(item_id AS VARCHAR) AS meaning, form || '/' || item_id AS norm, (['GN', 'PN', 'verb', 'DN'])[length(form) % 4 + 1] AS type
+    FROM (SELECT item_id, unnest(list_filter(string_split_regex(text, {q(WS + '+')}), lambda w: w <> '')) AS form FROM benchmark)"""
+CANDIDATES = """SELECT conv_id AS source, origin || '-' || turn AS candidate, CASE origin WHEN 'own' THEN text ELSE replace(text, 'th', 'd') END AS text
+    FROM conversations, (SELECT unnest(['own', 'changed']) AS origin) WHERE role = 'assistant'"""
+
+
+def around(order: str, before: int, after: int) -> str:
+    """Texts of the rows before and after, as lists; ``order`` is the window of a document."""
+    return f"""coalesce(list(text) OVER ({order} ROWS BETWEEN {before} PRECEDING AND 1 PRECEDING), []) AS lines_before,
+        coalesce(list(text) OVER ({order} ROWS BETWEEN 1 FOLLOWING AND {after} FOLLOWING), []) AS lines_after"""
+
+
+def capitals(rows: str) -> str:
+    return f"""SELECT name, count(*) AS times FROM (SELECT unnest(regexp_extract_all(text, {q(TOKEN)})) AS name FROM {rows})
+        WHERE regexp_matches(name, '^\\p{{Lu}}') GROUP BY name"""
+
+
+def fuzzy_pairs() -> str:
+    """All names against all, without an index."""
+    # This engine counts edits of bytes, so every letter is made one byte first.
+    letters = "".join(chr(code) for code in range(0xC0, 0x100) if chr(code).isalpha())
+    single = "".join(chr(code) for code in range(1, 128) if not chr(code).isalnum())[: len(letters)]
+    coded = f"SELECT name, translate(name, {q(letters)}, {q(single)}) AS coded FROM"
+    return f"""SELECT f.name AS form, c.name AS canonical, levenshtein(f.coded, c.coded) AS distance
+        FROM ({coded} ({capitals('documents')})) f, ({coded} ({capitals("(SELECT * FROM conversations WHERE role = 'assistant')")})) c
+        WHERE f.name = c.name OR (length(f.name) >= 4 AND length(c.name) >= 4 AND abs(length(f.name) - length(c.name)) <= 1 AND levenshtein(f.coded, c.coded) <= 1)"""
+
+
+def agreements() -> str:
+    """chrF++ of each candidate against each sibling, and their mean."""
+    pairs = f"""SELECT row_number() OVER (ORDER BY a.source, a.candidate, b.candidate) AS key, a.text AS hyp, b.text AS ref, a.source, a.candidate
+        FROM ({CANDIDATES}) a JOIN ({CANDIDATES}) b ON a.source = b.source AND a.candidate <> b.candidate"""
+    return f"""WITH {gram_ctes(pairs, bleu=False)},
+    averages AS (
+        SELECT key, coalesce(avg(n_match / n_hyp) FILTER (n_hyp > 0 AND n_ref > 0), 0) AS p, coalesce(avg(n_match / n_ref) FILTER (n_hyp > 0 AND n_ref > 0), 0) AS r
+        FROM counts GROUP BY key
+    ),
+    means AS (
+        SELECT source, candidate, avg(CASE WHEN p + r > 0 THEN 500 * p * r / (4 * p + r) ELSE 0 END) AS agreement
+        FROM averages JOIN pairs USING (key) GROUP BY source, candidate
+    )
+    SELECT source AS conv_id, candidate, round(round(agreement, 9), 6) AS agreement, round(agreement, 9) AS fine FROM ({CANDIDATES}) LEFT JOIN means USING (source, candidate)"""
+
+
+REPLACED_NAMES = f"""WITH RECURSIVE parts AS (
+    SELECT conv_id || '-' || turn AS id, text, regexp_extract_all(text, {q(TOKEN)}) AS parts FROM conversations
+), listed AS (
+    SELECT name, min(put) AS put, len(regexp_extract_all(name, {q(TOKEN)})) AS size FROM (
+        SELECT parts[1] AS name, '<' || parts[1] || '>' AS put FROM parts
+        UNION ALL SELECT parts[1] || parts[2] || parts[3], '<' || parts[1] || '_' || parts[3] || '>' FROM parts WHERE parts[2] = ' ')
+    WHERE name <> '' AND put IS NOT NULL GROUP BY name
+), placed AS (
+    SELECT id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM parts
+), best AS (
+    SELECT id, pos, max(size) AS size, arg_max(put, size) AS put
+    FROM (SELECT id, pos, array_to_string(parts[pos:pos + n - 1], '') AS name FROM placed, (SELECT DISTINCT size AS n FROM listed) WHERE pos + n - 1 <= len(parts))
+    JOIN listed USING (name) GROUP BY id, pos
+), pointed AS (
+    SELECT a.*, b.pos AS following FROM (SELECT *, pos + size AS stop FROM best) a ASOF LEFT JOIN best b ON a.id = b.id AND a.stop <= b.pos
+), taken AS (
+    SELECT p.* FROM pointed p JOIN (SELECT id, min(pos) AS pos FROM best GROUP BY id) USING (id, pos)
+    UNION ALL SELECT p.* FROM taken t JOIN pointed p ON p.id = t.id AND p.pos = t.following
+), shown AS (
+    SELECT p.id, p.pos, CASE WHEN t.pos = p.pos THEN t.put WHEN p.pos < t.stop THEN '' ELSE p.parts[p.pos] END AS part
+    FROM placed p ASOF LEFT JOIN taken t ON p.id = t.id AND p.pos >= t.pos
+)
+SELECT id, coalesce(any_value(joined), any_value(text)) AS text FROM parts LEFT JOIN (SELECT id, string_agg(part, '' ORDER BY pos) AS joined FROM shown GROUP BY id) USING (id) GROUP BY id"""
+
+
 def oracle_statements() -> dict[str, str]:
     template = ChatTemplate()
     turn = f"{q(template.message_start)} || 'user' || {q(template.role_end)} || 'Translate: ' || text || {q(template.message_end)}"
@@ -400,6 +470,34 @@ def oracle_statements() -> dict[str, str]:
             || '-a' || coalesce((CASE WHEN p_size % 7 <> 0 THEN p_size * 2 END)::VARCHAR, '64')
             || '_lr' || CASE WHEN p_size % 3 = 0 THEN '1e-4' ELSE '0.0002' END
             || '_ep' || CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE '3' END AS run_name FROM part""",
+        "context_windows": f"""SELECT conv_id, turn, array_to_string(lines_before, chr(10)) AS lines_before, array_to_string(lines_after, chr(10)) AS lines_after
+            FROM (SELECT *, {around("PARTITION BY conv_id ORDER BY turn", 2, 2)} FROM conversations)""",
+        "context_prompts": f"""SELECT doc_id, line, {q(system + template.message_start + "user" + template.role_end + "Translate: ")}
+            || CASE WHEN len(lines_before) > 0 THEN '[Preceding lines: ' || array_to_string(lines_before, chr(10)) || ']' || chr(10) ELSE '' END
+            || 'Translate this sentence: ' || text
+            || CASE WHEN len(lines_after) > 0 THEN chr(10) || '[Following lines: ' || array_to_string(lines_after, chr(10)) || ']' ELSE '' END
+            || {q(template.message_end + template.generation)} AS prompt
+            FROM (SELECT *, {around("PARTITION BY doc_id ORDER BY line", 3, 1)} FROM (
+                SELECT doc_id, unnest(string_split(text, chr(10))) AS text, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS line FROM documents))""",
+        "lexicon_names": f"""SELECT form, arg_min(norm, (list_position(['PN', 'GN', 'DN'], type), norm)) AS norm FROM ({LEXICON})
+            WHERE type IN ('PN', 'GN', 'DN') GROUP BY form""",
+        "lexicon_hints": f"""WITH meanings AS (SELECT form, list_sort(list(DISTINCT meaning)) AS meanings FROM ({LEXICON}) GROUP BY form),
+            words AS (SELECT doc_id, list_filter(string_split_regex(text, {q(WS + '+')}), lambda w: w <> '') AS ws FROM documents),
+            placed AS (SELECT doc_id, form, min(i) AS place FROM (SELECT doc_id, unnest(ws) AS form, generate_subscripts(ws, 1) AS i FROM words) GROUP BY doc_id, form),
+            told AS (SELECT form, meanings FROM placed JOIN meanings USING (form) GROUP BY form, meanings
+                HAVING count(*) <= 0.01 * (SELECT count(*) FROM documents) OR len(meanings) >= 3),
+            lines AS (SELECT doc_id, string_agg('- ' || form || ': ' || array_to_string(meanings, ', '), chr(10) ORDER BY place) AS lines
+                FROM placed JOIN told USING (form) GROUP BY doc_id)
+            SELECT doc_id, coalesce('Lexicon hints:' || chr(10) || lines, '') AS hints FROM documents LEFT JOIN lines USING (doc_id)""",
+        "capitalized_names": capitals("documents"),
+        "fuzzy_pairs": fuzzy_pairs(),
+        "fuzzy_names": f"""WITH pairs AS ({fuzzy_pairs()}), nearest AS (SELECT form, min(distance) AS distance FROM pairs GROUP BY form)
+            SELECT form, any_value(canonical) AS canonical, any_value(distance) AS distance FROM pairs JOIN nearest USING (form, distance)
+            GROUP BY form HAVING count(*) = 1""",
+        "replaced_names": REPLACED_NAMES,
+        "candidate_agreement": f"SELECT conv_id, candidate, agreement FROM ({agreements()})",
+        "chosen_candidates": f"""SELECT conv_id, candidate, agreement FROM ({agreements()})
+            QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY coalesce(fine, 0) DESC, candidate) = 1""",
         "run_scores": f"""SELECT run, bleu, chrfpp, geomean, epoch, 'model' AS model, regexp_extract(run, '_r([0-9]+)', 1)::INT AS lora_r,
             32 AS lora_alpha, 0.0001::DOUBLE AS lr, 4 AS epochs FROM ({LAST_SCORES})""",
         "best_run": f"""SELECT epoch, run, bleu, chrfpp, geomean FROM ({EPOCH_SCORES})

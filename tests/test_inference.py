@@ -1,0 +1,215 @@
+"""Context windows, lexicon hints, fuzzy names, replaced names and candidate choice against plain restatements."""
+
+import itertools
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpus_spark.functions.chrf import chrf_char_counts, chrf_score, chrf_word_counts
+from corpus_spark.operators import choice, context, fuzzy, lexicon, names
+
+
+# Context
+
+
+def plain_context(rows, before, after):
+    found = []
+    for doc in {row[0] for row in rows}:
+        own = sorted((row for row in rows if row[0] == doc), key=lambda row: row[1])
+        texts = [row[2] or "" for row in own]
+        for place, (_, line, text) in enumerate(own):
+            found.append((doc, line, text, texts[max(0, place - before) : place], texts[place + 1 : place + 1 + after]))
+    return sorted(found, key=repr)
+
+
+@pytest.mark.parametrize("before,after,range_rows", [(2, 2, 1), (3, 1, 4), (0, 2, 5), (4, 0, 3), (2, 3, 1 << 16), (0, 0, 2)])
+def test_context_equals_plain(spark, before, after, range_rows):
+    rng = random.Random(before)
+    # One document has most of the lines; some have one, some have no name.
+    rows = [("hot", line * 3, f"hot line {line}") for line in range(90)] + [(doc, line, rng.choice(["x", "", None, "é\nü"])) for doc in ("a", "b", None, "") for line in range(rng.randrange(1, 8))]
+    df = spark.createDataFrame([(*row, "own", 1) for row in rows], "text_id string, line int, text string, place string, Context_Before int").repartition(5)
+    found = context.with_context(df, "text_id", "line", before=before, after=after, range_rows=range_rows)
+    assert found.columns == ["text_id", "line", "text", "place", "context_before", "context_after"]
+    got = [(r.text_id, r.line, r.text, list(r.context_before), list(r.context_after)) for r in found.collect()]
+    assert sorted(got, key=repr) == plain_context(rows, before, after)
+    assert context.with_context(df.limit(0), "text_id", "line").count() == 0
+
+
+def test_context_of_a_long_document_is_many_tasks(spark):
+    lines = spark.range(5000).select(F.lit(1).alias("text_id"), F.col("id").alias("line"), F.col("id").cast("string").alias("text"))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        found = context.with_context(lines, "text_id", "line", range_rows=100)
+        sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) > 2 and max(sizes) < 2500
+        assert found.filter("line = 2500").first().context_before == ["2498", "2499"]
+    finally:
+        spark.conf.set(coalesce, "true")
+
+
+def test_context_source(spark):
+    row = spark.sql("SELECT 'b' AS t, array('a', 'x') AS p, array('c') AS f, cast(array() AS array<string>) AS e, cast(null AS string) AS n")
+    shown = row.select(
+        context.context_source(F.col("t"), F.col("p"), F.col("f")), context.context_source(F.col("t"), F.col("e"), F.col("e")), context.context_source(F.col("n"), F.col("e"), F.col("f")),
+    ).first()
+    assert list(shown) == [
+        "[Preceding lines: a\nx]\nTranslate this sentence: b\n[Following lines: c]", "Translate this sentence: b", "Translate this sentence: \n[Following lines: c]",
+    ]
+
+
+# Lexicon
+
+
+def test_name_table_takes_kinds_in_order(spark):
+    rows = [("a-šur", "Assur", "GN"), ("a-šur", "Aššur", "DN"), ("a-šur", "Asur", "PN"), ("a-šur", "Asar", "PN"), ("x", "y", "verb"), (None, "z", "PN"), ("n", None, "PN")]
+    found = lexicon.name_table(spark.createDataFrame(rows, "form string, norm string, type string")).collect()
+    assert [tuple(r) for r in found] == [("a-šur", "Asar")]
+
+
+def plain_hints(rows, entries, max_share, min_meanings):
+    meanings = {}
+    for form, meaning in entries:
+        if form is not None and meaning is not None:
+            meanings.setdefault(form, set()).add(meaning)
+    texts = {}
+    for key, text in rows:
+        if key is not None:
+            texts.setdefault(key, []).extend((word, place) for place, word in enumerate((text or "").split()))
+    held = {form: sum(any(word == form for word, _ in own) for own in texts.values()) for form in meanings}
+    told = {form for form in meanings if held[form] <= max_share * len(texts) or len(meanings[form]) >= min_meanings}
+    found = {}
+    for key, own in texts.items():
+        first = {}
+        for word, place in own:
+            if word in told:
+                first[word] = min(place, first.get(word, place))
+        found[key] = [f"- {word}: {', '.join(sorted(meanings[word]))}" for word, _ in sorted(first.items(), key=lambda item: (item[1], item[0]))]
+    return ["Lexicon hints:\n" + "\n".join(found[key]) if key is not None and found[key] else "" for key, _ in rows]
+
+
+@pytest.mark.parametrize("max_share,min_meanings", [(0.2, 2), (0.0, 99), (1.0, 1)])
+def test_hints_equal_plain(spark, max_share, min_meanings):
+    rng = random.Random(3)
+    pool = ["um-ma", "a-na", "šu", "x", "the", "ki", "(", "a-na"]
+    rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(30)] + [(40, None), (41, ""), (None, "um-ma"), (42, "the " * 500 + "ki ki um-ma")]
+    entries = [("um-ma", "thus"), ("um-ma", "saying"), ("um-ma", "thus"), ("ki", "place"), ("the", "article"), ("šu", None), (None, "x"), ("never", "no")]
+    df = spark.createDataFrame([(*row, "old", 5) for row in rows], "id int, text string, Hints string, word int")
+    found = lexicon.with_hints(df, spark.createDataFrame(entries, "form string, meaning string"), "id", max_share=max_share, min_meanings=min_meanings)
+    assert found.columns == ["id", "text", "word", "hints"]
+    want = plain_hints(rows, entries, max_share, min_meanings)
+    got = sorted(((r.id, r.hints) for r in found.collect()), key=repr)
+    assert got == sorted(((key, hint) for (key, _), hint in zip(rows, want)), key=repr)
+    assert lexicon.with_hints(df.limit(0), spark.createDataFrame(entries, "form string, meaning string"), "id").count() == 0
+
+
+# Fuzzy names
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("max_distance,min_chars", [(0, 1), (1, 4), (1, 1), (2, 3)])
+def test_fuzzy_pairs_equal_all_pairs(spark, max_distance, min_chars):
+    rng = random.Random(max_distance)
+    draw = lambda: "".join(rng.choice("aéb𝒳c") for _ in range(rng.randrange(0, 8)))
+    left, right = [[draw() for _ in range(120)] + ["", None, "same", "same"] for _ in range(2)]
+    want = {
+        (a, b, plain_distance(a, b)) for a, b in itertools.product({x for x in left if x is not None}, {x for x in right if x is not None})
+        if plain_distance(a, b) <= max_distance and (a == b or min(len(a), len(b)) >= min_chars)
+    }
+    frames = [spark.createDataFrame([(value,) for value in values], "form string") for values in (left, right)]
+    pairs = fuzzy.fuzzy_pairs(*frames, max_distance=max_distance, min_chars=min_chars)
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Cartesian" not in pairs._jdf.queryExecution().toString() and "NestedLoop" not in pairs._jdf.queryExecution().toString()
+    near = {}
+    for a, b, distance in want:
+        near.setdefault(a, []).append((distance, b))
+    single = {(a, min(own)[1], min(own)[0]) for a, own in near.items() if [d for d, _ in own].count(min(own)[0]) == 1}
+    assert {tuple(r) for r in fuzzy.fuzzy_table(*frames, max_distance=max_distance, min_chars=min_chars).collect()} == single
+    assert fuzzy.fuzzy_pairs(frames[0].limit(0), frames[1]).count() == 0
+
+
+# Replaced names
+
+
+def plain_replaced(text, table):
+    parts = re.findall(r"[^\W_]+|[\W_]+", text)
+    phrases = {tuple(re.findall(r"[^\W_]+|[\W_]+", name)): put for name, put in table.items()}
+    done, at = [], 0
+    while at < len(parts):
+        size = max((len(phrase) for phrase in phrases if tuple(parts[at : at + len(phrase)]) == phrase), default=0)
+        done.append(phrases[tuple(parts[at : at + size])] if size else parts[at])
+        at += size or 1
+    return "".join(done)
+
+
+def test_replaced_names_equal_plain(spark):
+    rng = random.Random(8)
+    entries = [("A", "1"), ("A B", "2"), ("B A", "3"), ("A B-C", "4"), ("C", "5"), ("C", "4.5"), ("é", "E"), ("", "no"), (None, "no"), ("B", None), ("D D D", "[A B]"), (".", "dot")]
+    table = {}
+    for name, put in entries:
+        if name and put is not None:
+            table[name] = min(put, table.get(name, put))
+    pool = ["A", "B", "C", "D", "é", "AB", " ", " ", "-", ". ", "\n"]
+    rows = [(i, "".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(14)))) for i in range(150)]
+    rows += [(200, None), (201, ""), (202, "A B " * 3000), (None, "A")]
+    df = spark.createDataFrame([(*row, 7) for row in rows], "id int, text string, found int")
+    frame = spark.createDataFrame(entries, "name string, canonical string")
+    got = {r.id: r.text for r in names.replace_names(df, frame, "id").collect()}
+    assert got == {key: text if key is None or text is None else plain_replaced(text, table) for key, text in rows}
+    assert names.replace_names(df, frame.limit(0), "id").collect() == df.collect()
+    assert names.replace_names(df.limit(0), frame, "id").columns == ["id", "text", "found"]
+    with pytest.raises(ValueError):
+        names.replace_names(df, frame, "id", max_tokens=2)
+
+
+def test_capitalized(spark):
+    df = spark.createDataFrame([("Aa b Éé Aa-Cc 1A",), (None,), ("",)], "text string")
+    assert sorted(map(tuple, names.capitalized(df).collect())) == [("Aa", 2), ("Cc", 1), ("Éé", 1)]
+
+
+# Choice
+
+
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_agreement_equals_all_pairs(spark, block):
+    rng = random.Random(2)
+    words = ["the", "king", "said,", "to", "Aššur:", "silver", "x"]
+    rows = [(source, f"k{n}", " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for source, size in ((1, 5), (2, 1), (None, 3), (3, 11)) for n in range(size)]
+    rows += [(4, "a", None), (4, "b", ""), (5, "a", "same"), (5, "b", "same"), (5, "c", "other")]
+    df = spark.createDataFrame([(*row, 1) for row in rows], "id int, k string, text string, source int")
+    pairs = [(a, b, x, y) for (a, k, x), (b, j, y) in itertools.product(rows, rows) if a == b and k != j for a, b in [((a, k), (b, j))]]
+    frame = spark.createDataFrame([(n, x or "", y or "") for n, (_, _, x, y) in enumerate(pairs)], "n int, h string, r string")
+    counted = frame.withColumns({"c": chrf_char_counts(F.col("h"), F.col("r")), "w": chrf_word_counts(F.col("h"), F.col("r"))})
+    flat = counted.select("n", *[F.get("c", F.lit(i)).alias(f"c{i}") for i in range(18)], *[F.get("w", F.lit(i)).alias(f"w{i}") for i in range(6)])
+    sides = [[f"c{3 * o + i}" for o in range(6)] + [f"w{3 * o + i}" for o in range(2)] for i in range(3)]
+    scored = {r.n: r.s for r in flat.select("n", chrf_score(*sides).alias("s")).collect()}
+    sums = {}
+    for n, (a, _, _, _) in enumerate(pairs):
+        sums.setdefault(a, []).append(scored[n])
+    found = choice.agreement(df, "id", "k", block=block).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        own = sums.get((row.id, row.k))
+        assert (row.agreement is None) == (own is None) and (own is None or abs(row.agreement - sum(own) / len(own)) < 1e-6)
+    best = {}
+    for row in found:
+        key = (-(row.agreement or 0.0), row.k)
+        best[row.id] = min(best.get(row.id, key), key)
+    assert {r.id: r.k for r in choice.choose(df, "id", "k", block=block).collect()} == {source: k for source, (_, k) in best.items()}
+    assert choice.choose(df.limit(0), "id", "k").count() == 0
+
+
+def test_pool(spark):
+    one, two = (spark.createDataFrame([(1, text)], "id int, text string") for text in "ab")
+    assert sorted((r.text, r.origin) for r in choice.pool(m1=one, m2=two).collect()) == [("a", "m1"), ("b", "m2")]
