@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpus_spark.llm.arrow import add_columns, map_arrow, slices
+from corpus_spark.llm.arrow import add_columns, map_arrow, one_list, packed, slices, unpacked
 from corpus_spark.llm.scratch import written
 from corpus_spark.llm.token_counts import byte_letters
 
@@ -213,17 +213,6 @@ def align(
     return add_columns(df, text, "groups string", make)
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """Small whole numbers as bytes: the first bytes of all, then the second ones, compressed."""
-    plane = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return pa.compress(plane, codec="zstd", asbytes=True)
-
-
-def _unpacked(packed: bytes, size: int) -> np.ndarray:
-    plane = pa.decompress(packed, decompressed_size=4 * size, codec="zstd", asbytes=True) if size else b""
-    return np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def linked_slices(df: DataFrame, doc_id: str, text: str, path_a: str, path_b: str, part_chars: int) -> DataFrame:
     """One row per slice of documents: what is known of each, which pairs of ids it links and how often.
 
@@ -278,13 +267,10 @@ def _slice(aligner: Aligner, rows: pa.RecordBatch, number: int) -> pa.RecordBatc
     steps[starts] = place[starts]
     docs = pa.StructArray.from_arrays([rows.column(0), *map(pa.array, counts.values()), pa.array(digests, pa.string())], ["doc_id", *_COUNTS, "groups_sha256"])
 
-    def one(values):
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([number]), one(docs), one(pa.array(n_entries.astype(np.int32))), pa.array([_packed(steps)], pa.binary()),
-            pa.array([_packed(entry_times)], pa.binary()), one(pa.array(distinct)), one(pa.array(totals)),
+            pa.array([number]), one_list(docs), one_list(pa.array(n_entries.astype(np.int32))), pa.array([packed(steps)], pa.binary()),
+            pa.array([packed(entry_times)], pa.binary()), one_list(pa.array(distinct)), one_list(pa.array(totals)),
         ],
         ["slice", "docs", "n_entries", "places", "times", "pairs", "totals"],
     )
@@ -348,7 +334,7 @@ def _scored(row: pa.RecordBatch, n: np.ndarray, best: np.ndarray) -> pa.RecordBa
     docs = row.column(3).flatten()
     n_entries = row.column(4).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     size = int(n_entries.sum())
-    steps, times = (_unpacked(row.column(place)[0].as_py(), size) for place in (5, 6))
+    steps, times = (unpacked(row.column(place)[0].as_py(), size) for place in (5, 6))
     stops = np.cumsum(n_entries)
     starts = stops - n_entries
     # Steps restart with each document: what the documents before added up to goes off again.

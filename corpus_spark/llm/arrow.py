@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -71,3 +72,19 @@ def add_columns(
                 yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
     return map_arrow(kept, run, schema)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Small whole numbers as bytes: the first bytes of all, then the second ones, compressed."""
+    plane = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return pa.compress(plane, codec="zstd", asbytes=True)
+
+
+def unpacked(packed: bytes, size: int) -> np.ndarray:
+    plane = pa.decompress(packed, decompressed_size=4 * size, codec="zstd", asbytes=True) if size else b""
+    return np.ascontiguousarray(np.frombuffer(plane, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def one_list(values: pa.Array) -> pa.Array:
+    """All values as the one list of one row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)

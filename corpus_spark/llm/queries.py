@@ -40,7 +40,13 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup.dedup_units(table(spark, folder, "documents").select("doc_id", "text"))
     places = F.transform("removed", lambda each: F.concat_ws("-", each["start"], each["stop"]))
     return found.select(
-        "doc_id", "n_lines", "n_removed", F.array_join(places, ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256")
+        "doc_id",
+        (F.col("n_shared") > 0).alias("shares_passage"),
+        "n_shared",
+        "n_removed",
+        "n_words",
+        F.array_join(places, ",").alias("removed"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
     )
 
 
@@ -236,22 +242,56 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+BLANK_SQL = r"\x20\x09-\x0D"
 UNITS_SQL = rf"""
-WITH numbered AS (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, length(regexp_extract(coalesce(text, ''), '^[{BLANK_SQL}]*')) AS lead,
+        regexp_extract_all(coalesce(text, ''), '[^{BLANK_SQL}]+[{BLANK_SQL}]*') AS tokens
     FROM documents
-), placed AS (
-    SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
-        list_filter(string_split_regex({LOWER_SQL.format("line")}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
-    FROM numbered
-), ranked AS (
-    SELECT *, len(words) < 20 OR row_number() OVER (PARTITION BY array_to_string(words, ' ') ORDER BY doc_id, start) = 1 AS kept FROM placed
+), tokens AS (
+    SELECT doc_id, lead, unnest(tokens) AS token, generate_subscripts(tokens, 1) - 1 AS pos, len(tokens) AS n FROM texts
+), words AS (
+    SELECT *, lead + coalesce(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+        coalesce(contains(lag(token) OVER (PARTITION BY doc_id ORDER BY pos), chr(10)), true) AS begins_line,
+        left(md5({LOWER_SQL.format(f"regexp_extract(token, '^[^{BLANK_SQL}]+')")}), 16) AS h
+    FROM tokens
+), least AS (
+    SELECT *, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {substring_dedup.REACH} PRECEDING AND {substring_dedup.REACH} FOLLOWING) = h AS cut FROM words
+), cuts AS (
+    SELECT doc_id, 'content' AS kind, pos FROM least WHERE cut OR pos = 0 UNION SELECT doc_id, 'line', pos FROM least WHERE begins_line
+    UNION SELECT doc_id, unnest(['content', 'line']), n FROM least
+), spans AS (
+    SELECT DISTINCT a.doc_id, a.pos AS start, b.pos AS stop
+    FROM (SELECT *, pos + {substring_dedup.MIN_WORDS} AS least FROM cuts) a ASOF JOIN cuts b ON a.doc_id = b.doc_id AND a.kind = b.kind AND a.least <= b.pos
+), normal AS (
+    SELECT doc_id, list_transform(tokens, lambda t: {LOWER_SQL.format(f"regexp_extract(t, '^[^{BLANK_SQL}]+')")}) AS words FROM texts
+), units AS (
+    SELECT doc_id, start, stop, md5(array_to_string(list_slice(words, start + 1, stop), ' ')) AS key FROM spans JOIN normal USING (doc_id)
+), repeated AS (
+    SELECT *, first_value(doc_id) OVER w AS first_id, first_value(start) OVER w AS first_start
+    FROM units WHERE key IN (SELECT key FROM units GROUP BY key HAVING count(*) > 1) WINDOW w AS (PARTITION BY key ORDER BY doc_id, start)
+), covered AS (
+    SELECT DISTINCT 'shared' AS kind, doc_id, unnest(range(start, stop)) AS pos FROM repeated
+    UNION SELECT DISTINCT 'gone', doc_id, unnest(range(CASE WHEN doc_id = first_id THEN greatest(start, first_start + stop - start) ELSE start END, stop)) FROM repeated
+), stretches AS (
+    SELECT kind, doc_id, min(pos) AS start, max(pos) + 1 AS stop
+    FROM (SELECT *, pos - row_number() OVER (PARTITION BY kind, doc_id ORDER BY pos) AS island FROM covered) GROUP BY kind, doc_id, island
+    HAVING count(*) >= {substring_dedup.MIN_PASSAGE}
+), gone AS (
+    SELECT s.doc_id, s.start, s.stop, a.start AS from_char, coalesce(b.start, length(text)) AS to_char
+    FROM stretches s JOIN texts USING (doc_id) JOIN words a ON a.doc_id = s.doc_id AND a.pos = s.start LEFT JOIN words b ON b.doc_id = s.doc_id AND b.pos = s.stop
+    WHERE kind = 'gone'
+), totals AS (
+    SELECT doc_id, sum(stop - start) AS n, string_agg(from_char || '-' || to_char, ',' ORDER BY start) AS removed FROM gone GROUP BY doc_id
+), shared AS (
+    SELECT doc_id, sum(stop - start) AS n FROM stretches WHERE kind = 'shared' GROUP BY doc_id
+), kept AS (
+    SELECT doc_id, string_agg(token, '' ORDER BY pos) AS rest
+    FROM words WHERE (doc_id, pos) NOT IN (SELECT (doc_id, unnest(range(start, stop))) FROM gone) GROUP BY doc_id
 )
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_removed,
-    coalesce(string_agg(start || '-' || (start + length(line)), ',' ORDER BY start) FILTER (NOT kept), '') AS removed,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
-FROM ranked GROUP BY doc_id
+SELECT doc_id, coalesce(shared.n, 0) > 0 AS shares_passage, CAST(coalesce(shared.n, 0) AS BIGINT) AS n_shared, CAST(coalesce(totals.n, 0) AS BIGINT) AS n_removed,
+    len(tokens) AS n_words, coalesce(removed, '') AS removed, sha256(left(text, lead) || coalesce(rest, '')) AS kept_sha256
+FROM texts LEFT JOIN shared USING (doc_id) LEFT JOIN totals USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 # Counts of accepted and rejected URLs in either half, by the characters of a gram.
