@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.ngrams import word_ngram_counts
-from corpus_spark.functions.text import WS, squeeze
+from corpus_spark.functions.text import BLANKS, squeeze
 
 MAX_ORDER = 4
 
@@ -28,7 +28,7 @@ SPLIT_RULES = (
 
 def tokenize_13a(text: Column) -> Column:
     """13a tokens joined by single spaces; null gives no token."""
-    value = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?<!{WS}){WS}++\z", "")
+    value = F.rtrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     value = F.replace(value, F.lit("<skipped>"), F.lit(""))
     value = F.replace(value, F.lit("-\n"), F.lit(""))
     value = F.replace(value, F.lit("\n"), F.lit(" "))

@@ -50,18 +50,22 @@ PredictorFactory = Callable[[GenerationOptions], Predictor]
 @dataclass(frozen=True)
 class WordLookup:
     """A predictor factory without a model: reads the user text out of the prompt and translates
-    word by word from a small dictionary, keeping unknown words. Used to run the flow in tests."""
+    word by word from a small dictionary, keeping unknown words. Used to run the flow in tests. Where ``limited``
+    its tokens are the words of the user text: it reads and writes as many as the options allow."""
 
     meanings: tuple[tuple[str, str], ...] = ()
     start: str = "<|im_start|>user\nTranslate: "
     end: str = "<|im_end|>"
+    limited: bool = False
 
     def __call__(self, options: GenerationOptions) -> Predictor:
         meanings = dict(self.meanings)
+        limit = min(options.max_input_tokens, options.max_new_tokens) if self.limited else None
 
         def predict(prompts: list[str]) -> list[str]:
             texts = [prompt.partition(self.start)[2].partition(self.end)[0] for prompt in prompts]
-            return [" ".join(meanings.get(word, word) for word in text.split(" ")) for text in texts]
+            words = [text.split(" ")[: limit] for text in texts]
+            return [" ".join(meanings.get(word, word) for word in each) for each in words]
 
         return predict
 

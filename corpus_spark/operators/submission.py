@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from corpus_spark.functions.generation import EMPTY_PREDICTION, postprocess
@@ -40,19 +40,19 @@ def submission_by_key(
 ) -> DataFrame:
     """Every test id with its prediction, ``...`` where nothing was predicted.
 
-    An id with two predictions is an error: ids alone are counted, on the partitioning the join uses
-    anyway. Texts are joined as they are and cleaned afterwards, so predictions no test row asks for
-    are not cleaned. ``observation`` gets ``test_rows`` and ``predicted``, counted while writing.
+    An id with two predictions is an error where a test row asks for it: predictions are counted per id on the
+    partitioning and order that the join uses anyway, so there is one shuffle of each side. Texts are joined as
+    they are and cleaned afterwards, so predictions no test row asks for are not cleaned. ``observation`` gets ``test_rows`` and ``predicted``, counted while writing.
     """
     ids = with_submission_id(test).select("id")
     found = predictions.select(
         column(require_column(predictions, *SUBMISSION_ID_ALIASES)).alias("id"), _prediction(predictions).alias("__text")
     )
-    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("__n"))
     several = F.raise_error(F.concat(F.lit("Several predictions for id "), F.col("id").cast("string")))
-    single = counts.select("id", F.when(F.col("__n") > 1, several.cast("long")).otherwise(F.col("__n")).alias("__n"))
-    joined = ids.join(single, "id", "left").join(found, "id", "left")
-    return _filled(joined, F.col("__n").isNotNull(), apply_postprocess, observation)
+    counted = found.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    joined = ids.join(counted, "id", "left")
+    single = joined.withColumn("__n", F.when(F.col("__n") > 1, several.cast("long")).otherwise(F.col("__n")))
+    return _filled(single, F.col("__n").isNotNull(), apply_postprocess, observation)
 
 
 def _filled(joined: DataFrame, found: Column, apply_postprocess: bool, observation: Observation | None) -> DataFrame:

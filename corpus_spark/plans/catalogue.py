@@ -255,6 +255,13 @@ def row_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.row_split(indexed, "row_index")
 
 
+@query
+def keyless_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows on each side when a table without any id is split by where its rows stand."""
+    labelled = split.auto_split(tables.table(spark, folder, "documents").select("lang", "text"))
+    return labelled.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("text").isNull()).alias("without_text"))
+
+
 @query
 def threshold_split(spark: SparkSession, folder: str) -> DataFrame:
     return split.threshold_split(tables.table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
@@ -471,9 +478,10 @@ def submission_file(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def submission_by_key(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents as test rows, predictions joined by id; every seventh was not predicted."""
-    test = tables.table(spark, folder, "labels").select(F.col("doc_id").alias("id"))
-    found = tables.documents(spark, folder).filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
+    """All documents as predictions, joined by id with test rows of which some, negative ones, were not predicted."""
+    own = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"))
+    test = own.unionByName(tables.table(spark, folder, "part").select((-F.col("p_partkey") - 1).cast("long").alias("id")))
+    found = tables.documents(spark, folder).select(F.col("doc_id").alias("id"), F.col("text").alias("prediction"))
     return submission.submission_by_key(test, found)
 
 
@@ -562,6 +570,18 @@ def ranked_runs(spark: SparkSession, folder: str) -> DataFrame:
     return ranked.withColumn("place", F.col("place").cast("long"))
 
 
+@query
+def limited_translation(spark: SparkSession, folder: str) -> DataFrame:
+    """Batch size and token limits read from a settings file, and questions translated under them.
+    Writes the file when called."""
+    place = scratch_path(spark, "limits")
+    lines = ("model_name: Org/model", "inference_batch_size: 3", "max_seq_length: 40  # words of the stub", 'max_new_tokens: "12"')
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{place}/settings.yaml")
+    options = predict.GenerationOptions.from_settings(readers.read_settings(spark, f"{place}/settings.yaml").first())
+    rows = tables.turn_pairs(spark, folder).select("conv_id", "turn", "source")
+    return predict.translate(rows, "source", predict.WordLookup(MEANINGS, limited=True), options, "conv_id", "turn").drop("source")
+
+
 @query
 def run_settings(spark: SparkSession, folder: str) -> DataFrame:
     """Score documents and settings files of all runs, joined by the name that the settings give.

@@ -408,6 +408,9 @@ def oracle_statements() -> dict[str, str]:
         "source_split": by_source,
         "split_sizes": f"SELECT split, count(DISTINCT source) AS documents, count(*) AS rows FROM ({by_source}) GROUP BY split",
         "row_split": labelled("SELECT doc_id, lang, row_number() OVER (ORDER BY lang, doc_id) - 1 AS row_index FROM documents", "row_index"),
+        "keyless_split": """WITH sizes AS (SELECT count(*) AS n, greatest(1, floor(count(*) * 0.1))::BIGINT AS held, count(*) - count(text) AS empty FROM documents)
+            SELECT 'val' AS split, held AS rows, 0::BIGINT AS without_text FROM sizes UNION ALL SELECT 'train', n - held, empty FROM sizes""",
+        "limited_translation": f"""SELECT conv_id, turn, array_to_string(string_split({looked_up('source')}, ' ')[:12], ' ') AS prediction FROM ({PAIRS})""",
         "threshold_split": f"""SELECT doc_id, source,
             CASE WHEN substr({rank('doc_id')}, 1, 8) < '{int(0.1 * 2**32):08x}' THEN 'val' ELSE 'train' END AS split FROM documents""",
         "split_outputs": f"""WITH labelled AS ({by_source})
@@ -445,8 +448,9 @@ def oracle_statements() -> dict[str, str]:
             SELECT id // 1000000 AS conv_id, id % 1000000 AS turn, {default} AS prediction_clean FROM collapsed""",
         "submission_table": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
         "submission_file": f"WITH {collapsed(docs_output)} SELECT id, {default} AS translation FROM collapsed",
-        "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents WHERE doc_id % 7 <> 0")}
-            SELECT id, coalesce({default}, '...') AS translation FROM (SELECT doc_id AS id FROM labels) LEFT JOIN collapsed USING (id)""",
+        "submission_by_key": f"""WITH {collapsed(f"SELECT doc_id AS id, {stripped_output('text')} AS text FROM documents")}
+            SELECT id, coalesce({default}, '...') AS translation
+            FROM (SELECT doc_id AS id FROM documents UNION ALL SELECT -p_partkey - 1 FROM part) LEFT JOIN collapsed USING (id)""",
         "submission_by_position": f"""WITH {collapsed(f'''SELECT row_number() OVER (ORDER BY conv_id, turn) AS id,
             {stripped_output('text')} AS text FROM conversations WHERE role = 'assistant' ''')},
             test AS (SELECT conv_id || '-' || turn AS id, row_number() OVER (ORDER BY conv_id, turn) AS place

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpus_spark.functions import chat
 from corpus_spark.operators import columns, corpus, predict, runs, submission
+from corpus_spark.sources import readers
 from corpus_spark.streaming import rowwise
 
 # The predictors below are pickled into the tasks; workers cannot import a test module.
@@ -247,3 +248,19 @@ def test_streaming_gives_the_batch_rows(spark, tmp_path):
     streamed = {tuple(row) for row in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert streamed == {tuple(row) for row in rowwise.prepare_stream(rows, "id").collect()}
     assert len(streamed) == 40
+
+
+def test_limits_of_a_settings_file_reach_the_predictor(spark, tmp_path):
+    (tmp_path / "settings.yaml").write_text("max_seq_length: 3\ninference_batch_size: 2\nmax_new_tokens: '9'\n")
+    options = predict.GenerationOptions.from_settings(readers.read_settings(spark, f"{tmp_path}/settings.yaml").first())
+    assert options == predict.GenerationOptions(batch_size=2, max_input_tokens=3, max_new_tokens=9)
+    rows = spark.createDataFrame([(1, "a b c d e"), (2, "a"), (3, " "), (4, None)], "id int, source string")
+    asked = []
+
+    def factory(given):
+        asked.append(given)
+        return predict.WordLookup((("a", "x"),), limited=True)(given)
+
+    found = predict.translate(rows, "source", predict.WordLookup((("a", "x"),), limited=True), options, "id")
+    assert {r.id: r.prediction for r in found.collect()} == {1: "x b c", 2: "x", 3: "...", 4: "..."}
+    assert factory(options)([]) == [] and asked == [options]

@@ -211,3 +211,8 @@ def test_spans_are_dropped_as_a_lazy_regex_does(apply):
     assert apply(source_text.drop_double_angles, [*texts, None]) == [*[re.sub("<<[^\n]*?>>", "", text) for text in texts], None]
     assert apply(generation.strip_template_tokens, texts) == [re.sub(r"<\|[^\n]*?\|>", "", text) for text in texts]
     assert apply(generation.strip_thinking, [*texts, None]) == [*[re.sub(r"(?s)<think>.*?</think>", "", text) for text in texts], None]
+
+
+def test_blanks_are_the_blank_class(spark):
+    rows = spark.createDataFrame([(chr(code),) for code in range(0x10000) if not 0xD800 <= code < 0xE000], "c string")
+    assert "".join(sorted(row.c for row in rows.filter(F.col("c").rlike(text.WS)).collect())) == text.BLANKS
