@@ -1,13 +1,15 @@
 """SimHash near-duplicates by exact comparison of tiles of fingerprints.
 
 Two fingerprints within ``radius`` bits have population counts within ``radius``, over the whole and
-over the sum of the differences of both halves. Distinct fingerprints are sorted into classes by the
-population counts of their halves and cut into tiles; only tiles of classes within the radius meet.
+over the sum of the differences of their four quarters. Distinct fingerprints are sorted into classes by the
+population counts of their quarters and cut into tiles; only tiles of classes within the radius meet.
 A pair of tiles is compared in full with exclusive-or and bit counts, so no link can be missed.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 
 from corpus_spark.llm.arrow import add_columns, map_arrow
 from corpus_spark.llm.components import connected_components
-from corpus_spark.llm.scratch import written
+from corpus_spark.llm.names import fresh, quoted
+from corpus_spark.llm.scratch import with_key, written
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -25,7 +28,8 @@ SEED = 42
 TILE = 4096
 _ROWS = 32
 _SHINGLES = 1 << 16
-_HALF = (1 << 32) - 1
+# Population counts of the quarters of a fingerprint.
+COUNTS = ["count_0", "count_1", "count_2", "count_3"]
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -91,44 +95,42 @@ def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[list[int],
 
 
 def tiles(distinct: DataFrame, tile: int = TILE) -> DataFrame:
-    """(high, low, tile, members): fingerprints by the population counts of their halves.
+    """(count_0, ..., count_3, tile, members): fingerprints by the population counts of their quarters.
 
-    A class of more than ``tile`` members is dealt over several tiles by hash. There are at most
-    33 * 33 classes, so the table of their sizes can be broadcast whatever the input.
+    A class of more than ``tile`` members is dealt over several tiles by hash. There are at most 17 ** 4 = 83,521
+    classes, so the table of their sizes can be broadcast whatever the input.
     """
-    classed = distinct.select(
-        "simhash",
-        F.bit_count(F.shiftrightunsigned("simhash", 32)).alias("high"),
-        F.bit_count(F.col("simhash").bitwiseAND(F.lit(_HALF))).alias("low"),
-    )
-    sizes = classed.groupBy("high", "low").agg(F.ceil(F.count(F.lit(1)) / tile).alias("n_tiles"))
+    quarter = [F.bit_count(F.shiftrightunsigned("simhash", 16 * place).bitwiseAND(F.lit(0xFFFF))) for place in range(len(COUNTS))]
+    classed = distinct.select("simhash", *[count.alias(name) for count, name in zip(quarter, COUNTS)])
+    sizes = classed.groupBy(*COUNTS).agg(F.ceil(F.count(F.lit(1)) / tile).alias("n_tiles"))
     return (
-        classed.join(F.broadcast(sizes), ["high", "low"])
+        classed.join(F.broadcast(sizes), COUNTS)
         .withColumn("tile", F.pmod(F.xxhash64("simhash"), "n_tiles").cast("int"))
-        .groupBy("high", "low", "tile").agg(F.collect_list("simhash").alias("members"))
+        .groupBy(*COUNTS, "tile").agg(F.collect_list("simhash").alias("members"))
     )
 
 
+def steps(radius: int) -> list[tuple[int, ...]]:
+    """Differences of the four counts that add up to at most the radius, one of each two opposite ones."""
+    every = [step for step in product(range(-radius, radius + 1), repeat=len(COUNTS)) if sum(map(abs, step)) <= radius]
+    return [step for step in every if step >= (0,) * len(COUNTS)]
+
+
 def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """Links (a, b) between distinct fingerprints that connect all that are within the radius."""
     made = written(tiles(distinct, tile), "simhash-tiles")
     # Half of the neighbourhood: each pair of classes meets once, a class also meets itself.
-    steps = [
-        (high, low) for high in range(radius + 1) for low in range(-radius, radius + 1)
-        if high + abs(low) <= radius and (high, low) >= (0, 0)
-    ]
-    other = made.select(
-        F.col("high").alias("high_b"), F.col("low").alias("low_b"), F.col("tile").alias("tile_b"), F.col("members").alias("b")
-    )
-    moved = made.withColumn("step", F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(w).alias("w")) for h, w in steps])))
-    moved = moved.withColumns({"high_b": F.col("high") + F.col("step.h"), "low_b": F.col("low") + F.col("step.w")})
-    pairs = moved.join(other, ["high_b", "low_b"]).filter("step.h <> 0 OR step.w <> 0 OR tile <= tile_b")
-    itself = F.expr("step.h = 0 AND step.w = 0 AND tile = tile_b")
+    half = F.array(*[F.struct(*[F.lit(value).alias(name) for name, value in zip(COUNTS, step)]) for step in steps(radius)])
+    others = [f"{name}_b" for name in COUNTS]
+    other = made.select(*[F.col(name).alias(of) for name, of in zip(COUNTS, others)], F.col("tile").alias("tile_b"), F.col("members").alias("b"))
+    moved = made.withColumn("step", F.explode(half)).withColumns({of: F.col(name) + F.col(f"step.{name}") for name, of in zip(COUNTS, others)})
+    same_class = " AND ".join(f"step.{name} = 0" for name in COUNTS)
+    pairs = moved.join(other, others).filter(f"NOT ({same_class}) OR tile <= tile_b")
+    itself = F.expr(f"{same_class} AND tile = tile_b")
     # One class may hold most fingerprints: its pairs of tiles are dealt over all tasks.
     dealt = pairs.select(
-        "high", "low", "tile", "high_b", "low_b", "tile_b",
-        F.col("members").alias("a"), F.when(~itself, F.col("b")).alias("b"),
-    ).repartition("high", "low", "tile", "high_b", "low_b", "tile_b").select("a", "b")
+        *COUNTS, "tile", *others, "tile_b", F.col("members").alias("a"), F.when(~itself, F.col("b")).alias("b"),
+    ).repartition(*COUNTS, "tile", *others, "tile_b").select("a", "b")
 
     def run(batches):
         for batch in batches:
@@ -142,6 +144,12 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
     return map_arrow(dealt, run, "a long, b long")
 
 
+def _groups(nodes: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Distinct fingerprints (and what else the frame has) with ``root``, the fingerprint that names their group."""
+    stars = connected_components(near_links(nodes.select("simhash"), radius, tile))
+    return nodes.join(stars, F.col("simhash") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "simhash").alias("root"))
+
+
 def near_duplicates(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS,
     radius: int = RADIUS, tile: int = TILE,
@@ -154,15 +162,12 @@ def near_duplicates(
     id is linked as any other and names no component; where all ids are null so is the component's.
     An empty table gives an empty table; other columns are not read. Runs jobs when called.
     """
-    named = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"))
-    found = written(fingerprints(named, "__text", words).select("doc_id", "simhash"), "simhash")
+    named = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    found = written(fingerprints(named, "text", words).drop("text"), "simhash")
     nodes = found.groupBy("simhash").agg(F.min("doc_id").alias("least"))
-    stars = connected_components(near_links(nodes.select("simhash"), radius, tile))
-    rooted = nodes.join(stars, F.col("simhash") == F.col("node"), "left").select(
-        "simhash", "least", F.coalesce("root", "simhash").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(named, "root").select("simhash", "component_id")
+    labels = _groups(nodes, radius, tile)
+    named = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = labels.join(named, "root").select("simhash", "component_id")
     return found.join(labels, "simhash").select("doc_id", "simhash", "component_id")
 
 
@@ -172,7 +177,20 @@ def hex_digits(simhash: str = "simhash"):
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows whose id is the smallest of their component. Rows with a null id stay."""
-    labels = near_duplicates(df, doc_id, text, words, radius)
-    gone = labels.filter(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """One row of each group of near copies, as it came: the one with the smallest id, null ids after all others.
+
+    Of rows of one id, and of rows without one, it is the first in a numbering of the rows. So no group vanishes and
+    none keeps two rows, whatever ids are repeated or null.
+    """
+    key = fresh(df, "row_key")
+    rows = with_key(df, key)
+    named = rows.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"), quoted(key).alias("key"))
+    found = written(fingerprints(named, "text", words).drop("text"), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "key"))
+    nodes = found.groupBy("simhash").agg(first.alias("least"))
+    labels = _groups(nodes, radius, TILE)
+    kept = labels.groupBy("root").agg(F.min("least").alias("first")).select("root", F.col("first.key").alias("kept"))
+    labels = labels.join(kept, "root").select("simhash", "kept")
+    # Written, so that Spark knows how many they are.
+    gone = written(found.join(labels, "simhash").filter("key <> kept").select(F.col("key").alias("gone")), "near-copies")
+    return rows.join(gone, quoted(key) == gone["gone"], "left_anti").drop(key)
