@@ -56,7 +56,8 @@ def hint_lines(found: Column) -> Column:
 
 def with_hints(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text", name: str = "hints", **options) -> DataFrame:
     """The texts with their hints as lines, empty where there are none. A column already named so is replaced."""
-    told = hints(texts, lexicon, key, text, **options).select(column(key).alias("__of_key"), F.col("hints").alias("__hints"))
-    kept = texts.select(*[column(each) for each in texts.columns if each.lower() != name.lower()])
-    joined = kept.join(told, column(key) == F.col("__of_key"), "left")
-    return joined.withColumn(name, hint_lines(F.col("__hints"))).drop("__of_key", "__hints")
+    told = hints(texts, lexicon, key, text, **options).select(column(key).alias("of"), F.col("hints").alias("told"))
+    kept = [each for each in texts.columns if each.lower() != name.lower()]
+    rows = texts.select(F.struct(*map(column, kept)).alias("row"), column(key).alias("key"))
+    joined = rows.join(told, F.expr("key = of"), "left")
+    return joined.select(*[F.col("row").getField(each).alias(each) for each in kept], hint_lines(F.col("told")).alias(name))

@@ -96,9 +96,9 @@ def test_hints_equal_plain(spark, max_share, min_meanings):
     pool = ["um-ma", "a-na", "šu", "x", "the", "ki", "(", "a-na"]
     rows = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(9)))) for i in range(30)] + [(40, None), (41, ""), (None, "um-ma"), (42, "the " * 500 + "ki ki um-ma")]
     entries = [("um-ma", "thus"), ("um-ma", "saying"), ("um-ma", "thus"), ("ki", "place"), ("the", "article"), ("šu", None), (None, "x"), ("never", "no")]
-    df = spark.createDataFrame([(*row, "old", 5) for row in rows], "id int, text string, Hints string, word int")
+    df = spark.createDataFrame([(*row, "old", 5, 6, 7, 8) for row in rows], "id int, text string, Hints string, word int, key int, of int, told int")
     found = lexicon.with_hints(df, spark.createDataFrame(entries, "form string, meaning string"), "id", max_share=max_share, min_meanings=min_meanings)
-    assert found.columns == ["id", "text", "word", "hints"]
+    assert found.columns == ["id", "text", "word", "key", "of", "told", "hints"]
     want = plain_hints(rows, entries, max_share, min_meanings)
     got = sorted(((r.id, r.hints) for r in found.collect()), key=repr)
     assert got == sorted(((key, hint) for (key, _), hint in zip(rows, want)), key=repr)
