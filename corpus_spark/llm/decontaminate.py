@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_spark.llm.arrow import map_arrow, slices
-from corpus_spark.llm.scratch import written
+from corpus_spark.llm.names import fresh, quoted
+from corpus_spark.llm.scratch import with_key, written
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
@@ -51,7 +52,7 @@ def build_index(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block
             for part in slices(batch, 1, block_bytes):
                 yield pa.RecordBatch.from_pylist([_block(part)], schema=_block_schema(part.schema.field(0).type))
 
-    named = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = df.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     return written(map_arrow(named, run, INDEX.format(id=kind)), "positional-index")
 
 
@@ -195,7 +196,7 @@ def query_blocks(items: DataFrame, item_id: str, text: str, window: int, most: i
                         ["item_id", "words"],
                     )
 
-    named = items.filter(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item_id"), F.col(text).alias("text"))
+    named = items.select(quoted(item_id).cast("string").alias("item_id"), quoted(text).alias("text"))
     pieces = written(map_arrow(named, run, "item_id string, words array<binary>").distinct(), "query-pieces")
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     deals = max(1, -(-total // most))
@@ -277,8 +278,8 @@ def matches(
     strings. With ``reach`` the windows need not stand as phrases: every word of the window must be
     within that many words of its rarest one, whose places are then the spans.
 
-    Null texts have no words; items of a null id are left out; items of one id are one item.
-    Repeated documents come out repeated. An empty table on either side gives no hits. Other columns
+    Null texts have no words; items of one id are one item, those of a null id too, which is a null, the last, in
+    ``items``. Repeated documents come out repeated. An empty table on either side gives no hits. Other columns
     are not read. Any number of items is looked up: in passes of ``most`` windows over the index.
     Runs jobs when called.
     """
@@ -318,6 +319,10 @@ def matches(
 
 
 def without_matches(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows whose id has no document with a hit. Rows with a null id stay."""
-    hit = matches(documents, benchmark, doc_id, text, **options).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return documents.join(hit, F.col(doc_id) == F.col("__hit"), "left_anti")
+    """The rows without a hit, as they came. Rows are decided one by one: neither a null id nor one that rows share
+    keeps a row with a hit or drops one without. ``doc_id`` is not read, but may be named as in ``matches``."""
+    key = fresh(documents, "row_key")
+    rows = with_key(documents, key)
+    # Written, so that Spark knows how few they are.
+    hit = written(matches(rows, benchmark, key, text, **options).filter("n_hit > 0").select("doc_id"), "hit-rows")
+    return rows.join(hit, quoted(key) == hit["doc_id"], "left_anti").drop(key)
