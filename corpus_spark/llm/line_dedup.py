@@ -15,8 +15,10 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpus_spark.llm.arrow import add_columns, map_arrow
+from corpus_spark.llm.names import all_but, quoted
 from corpus_spark.llm.scratch import written
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -24,6 +26,8 @@ MIN_CHARS = 40
 MIN_DOCUMENTS = 5
 BATCHES = 4
 FANOUT = 2
+# Ids looked at to cut the table into batches.
+SAMPLED_IDS = 4096
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -93,12 +97,18 @@ def line_pairs(df: DataFrame, doc_id: str, text: str, min_chars: int, batches: i
 
         return run
 
-    bounds = df.agg(F.min(doc_id), F.max(doc_id)).first()
-    low, high = bounds[0] or 0, bounds[1] or 0
-    width = max(1, -(-(high - low + 1) // batches))
-    named = df.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    named = df.filter(quoted(doc_id).isNotNull()).select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     keyed = add_columns(named, "text", "keys array<binary>", make).select("doc_id", F.explode("keys").alias("key"))
-    return written(keyed.withColumn("batch", F.expr(f"cast(({high} - doc_id) div {width} AS int)")), "line-keys", "batch")
+    number = sum((F.when(F.col("doc_id") >= F.lit(bound), 0).otherwise(1) for bound in batch_bounds(named.select("doc_id"), batches)), F.lit(0))
+    return written(keyed.withColumn("batch", number), "line-keys", "batch")
+
+
+def batch_bounds(ids: DataFrame, batches: int) -> list:
+    """Ids that cut all of them into about equal batches, from a sample of bounded size: the ids of the smallest
+    hashes. What the batches are changes no result. Ids may have any type that has an order."""
+    sample = [row.doc_id for row in ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_IDS).collect()]
+    ordered = sorted(sample)
+    return [ordered[len(ordered) * number // batches] for number in range(1, batches)] if ordered else []
 
 
 def dedup_lines(
@@ -111,44 +121,46 @@ def dedup_lines(
     ``min_chars`` characters that at least ``min_documents`` ids hold lose all their lines except in
     the largest id. Other lines stay in place, joined by a line feed. A null or empty text is one
     empty line. Rows of one id are one document: they count once and keep or lose a line together.
-    A row with a null id is left as it is and counts for no key. An empty table gives an empty table.
-    Columns already named as the new ones are replaced, others pass through. Runs jobs when called:
-    one per batch and merge.
+    A row with a null id is left as it is and counts for no key. Ids may have any type that has an order. An empty
+    table gives an empty table. Columns already named as the new ones are replaced, others pass through; the column of
+    the texts may not have such a name. Runs jobs when called: one per batch and merge.
     """
+    if text.lower() in _ADDED:
+        raise ValueError(f"column {text} is read, so it cannot be written too")
     pairs = line_pairs(df, doc_id, text, min_chars, batches)
     runs = Runs(min_documents, fanout)
     for batch in range(batches):
         runs.add(pairs.filter(F.col("batch") == batch).select("key", "doc_id"))
     repeats = (
         pairs.join(runs.settled(), "key").filter(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__dropped"))
+        .groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("dropped"))
     )
-    joined = df.join(repeats, F.col(doc_id) == F.col("__of"), "left").drop("__of")
-    return _without(joined, text, min_chars)
+    kept = df.select(*all_but(df, *_ADDED))
+    rows = df.select(F.struct(*all_but(df, *_ADDED)).alias("row"), quoted(doc_id).alias("id"))
+    joined = rows.join(repeats, F.col("id") == F.col("of"), "left").select("row", "dropped")
+    return _without(joined, kept, text, min_chars)
 
 
-def _without(df: DataFrame, text: str, min_chars: int) -> DataFrame:
-    """Drop the lines whose keys are in ``__dropped``."""
-    taken = {"kept_text", "n_lines", "n_dropped", "__dropped"}
-    packed = df.select(
-        *[F.col(f"`{name}`") for name in df.columns if name.lower() not in taken],
-        F.struct(F.col(f"`{text}`").alias("text"), "__dropped").alias("__work"),
-    )
-    schema = packed.drop("__work").schema.add("kept_text", "string").add("n_lines", "long").add("n_dropped", "long")
+_ADDED = ("kept_text", "n_lines", "n_dropped")
+
+
+def _without(joined: DataFrame, kept: DataFrame, text: str, min_chars: int) -> DataFrame:
+    """Rows (row, dropped) with the columns of ``kept`` and what is left of their texts without the dropped keys."""
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("kept_text string, n_lines long, n_dropped long").fields])
+    column = [name.lower() for name in kept.columns].index(text.lower())
 
     def run(batches):
         for batch in batches:
-            work = batch.column(batch.num_columns - 1)
-            kept, n_lines, n_dropped = [], [], []
-            for value, dropped in zip(work.field(0), work.field(1)):
+            texts, n_lines, n_dropped = [], [], []
+            for value, dropped in zip(batch.column(0).field(column), batch.column(1)):
                 lines = (value.as_py() or "").split("\n")
                 n_lines.append(len(lines))
                 if dropped.is_valid:
                     gone = set(dropped.as_py())
                     lines = [line for line in lines if line_key(line, min_chars) not in gone]
                 n_dropped.append(n_lines[-1] - len(lines))
-                kept.append("\n".join(lines))
-            arrays = [*batch.columns[:-1], pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, schema.names)
+                texts.append("\n".join(lines))
+            arrays = [pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.column(0).flatten(), *arrays], schema.names)
 
-    return map_arrow(packed, run, schema)
+    return map_arrow(joined, run, schema)
