@@ -383,13 +383,18 @@ def _placed(df: DataFrame, conv_id: str, turn: str, role: str, text: str, turns:
         F.col(conv_id).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), blank).alias("role"),
         F.coalesce(F.col(text), blank).alias("text"),
     )
-    # Rows that are the same in everything are one row and a number, however many there are.
-    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.md5("text"))
+    rows = rows.withColumn("key", F.md5("text"))
+    # Texts that a role says in several turns, by their digests: written, so that Spark knows how few they are and
+    # need not shuffle the texts to find them.
     place = F.struct(F.col("turn").isNotNull(), F.col("turn"))
-    again = counted.groupBy(*[F.col(name).alias(f"{name}_2") for name in ("conv_id", "role", "key")]).agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("turns")
-    ).filter("turns > 1").drop("turns")
+    again = written(
+        rows.groupBy("conv_id", "role", "key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+        .select(*[F.col(name).alias(f"{name}_2") for name in ("conv_id", "role", "key")], "first"),
+        "said-again",
+    )
     same = F.expr("conv_id <=> conv_id_2 AND role = role_2 AND key = key_2")
+    # Rows that are the same in everything are one row and a number, however many there are.
+    counted = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("key"))
     order = [F.asc_nulls_first(name) for name in ("conv_id", "turn", "role", "key")]
     marked = counted.join(again, same, "left").select("conv_id", "turn", "role", "text", "n", F.coalesce(place > F.col("first"), F.lit(False)).alias("seen"), "key")
     sorted_rows = marked.repartitionByRange(*order).sortWithinPartitions(*order).drop("key")
