@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpus_spark.llm.names import all_but, fresh, quoted
+
 # Words are runs of ASCII letters and digits and of all other characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,8 +105,11 @@ def scan(
     """
     weights = word_weights(df, text, templates)
     index = rare_index(templates, weights, rare_words)
-    kept = df.select(*[F.col(f"`{name}`") for name in df.columns if name.lower() not in ("n_words", "notices", "__words")])
-    with_words = kept.withColumn("__words", words(F.col(text)))
+    if text.lower() in ("n_words", "notices"):
+        raise ValueError(f"column {text} is read, so it cannot be written too")
+    kept = df.select(*all_but(df, "n_words", "notices"))
+    own, at = fresh(kept, "words", "n_words", "notices"), fresh(kept, "starts", "n_words", "notices")
+    with_words = kept.withColumn(own, words(quoted(text)))
     postings = "map(" + ", ".join(
         f"'{word}', array({', '.join(f'named_struct(\'template\', {number}, \'place\', {place})' for number, place in found)})"
         for word, found in sorted(index.items())
@@ -112,8 +117,8 @@ def scan(
     # Starts that the rare words point at: (template, start), each once.
     starts = f"""
         array_distinct(flatten(transform(
-            filter(sequence(0, size(__words) - 1), at -> array_contains({_texts(sorted(index))}, __words[at])),
-            at -> transform({postings}[__words[at]], hit -> named_struct('template', hit.template, 'start', at - hit.place))
+            filter(sequence(0, size({own}) - 1), at -> array_contains({_texts(sorted(index))}, {own}[at])),
+            at -> transform({postings}[{own}[at]], hit -> named_struct('template', hit.template, 'start', at - hit.place))
         )))"""
     details = []
     for template in templates:
@@ -127,23 +132,23 @@ def scan(
     # get() gives null outside of the text, so a notice may lie over its ends; slice() would not.
     share = f"""
         aggregate({{details}}[each.template].placed, 0D, (sum, one) ->
-            sum + if(get(__words, each.start + one.place) <=> one.word, one.weight, 0D))"""
+            sum + if(get({own}, each.start + one.place) <=> one.word, one.weight, 0D))"""
     details_sql = f"array({', '.join(details)})"
     measured = f"""
         transform(
-            filter(starts, each ->
+            filter({at}, each ->
                 each.start + {details_sql}[each.template].offset >= 0
-                AND slice(__words, each.start + {details_sql}[each.template].offset + 1, size({details_sql}[each.template].key)) = {details_sql}[each.template].key),
+                AND slice({own}, each.start + {details_sql}[each.template].offset + 1, size({details_sql}[each.template].key)) = {details_sql}[each.template].key),
             each -> named_struct(
                 'template', each.template, 'label', {details_sql}[each.template].label, 'base', {details_sql}[each.template].base,
                 'start', each.start, 'share', least(1D, {share.format(details=details_sql)})))"""
     # Only texts that hold a rare word are looked at word by word.
-    likely = F.col(text).rlike("(?i)" + "|".join(sorted(index)))
+    likely = quoted(text).rlike("(?i)" + "|".join(sorted(index)))
     empty = F.expr("cast(array() AS array<struct<template:int,start:int>>)")
-    found = with_words.withColumn("starts", F.when(likely & (F.size("__words") > 0), F.expr(starts)).otherwise(empty))
-    found = found.withColumn("notices", F.expr(measured)).withColumn("n_words", F.size("__words").cast("long"))
+    found = with_words.withColumn(at, F.when(likely & (F.size(own) > 0), F.expr(starts)).otherwise(empty))
+    found = found.withColumn("notices", F.expr(measured)).withColumn("n_words", F.size(own).cast("long"))
     whole = F.filter("notices", lambda each: each["share"] >= F.when(each["base"], 1 - 1e-9).otherwise(F.lit(min_share)))
-    return found.withColumn("notices", whole).drop("__words", "starts")
+    return found.withColumn("notices", whole).drop(own, at)
 
 
 def labels(notices: Column) -> Column:

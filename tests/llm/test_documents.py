@@ -1,17 +1,22 @@
 """Line, near-copy, benchmark and toxicity operators against plain restatements."""
 
+import datetime
+import hashlib
 import itertools
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import plain_toxicity
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import check_queries
 from corpus_spark.llm import components, decontaminate, line_dedup, simhash, toxicity
-from corpus_spark.llm.queries import op4_simhash_near_dedup, op10_toxicity
+from corpus_spark.llm.queries import STATEMENTS, op2_benchmark_decontamination, op4_simhash_near_dedup, op10_toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -58,6 +63,15 @@ def test_line_dedup_equals_plain(spark, batches, fanout):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,ids", [
+    ("string", ["b", "a", "é", "", "zz"]), ("long", [-(2**63), 2**63 - 1, 0, -1, 5]), ("date", [datetime.date(2000, 1, day) for day in range(1, 6)]),
+])
+def test_line_dedup_takes_ids_of_any_order(spark, kind, ids):
+    rows = [(doc, f"some shared line\nown line {place}") for place, doc in enumerate(ids)] + [(None, "some shared line")]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, f"doc_id {kind}, text string"), min_chars=9, min_documents=3, batches=3)
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()), key=repr) == sorted(plain_lines(rows, 9, 3), key=repr)
+
+
 # SimHash
 
 
@@ -119,10 +133,21 @@ def test_near_duplicates_of_odd_rows(spark):
     assert {(doc, component) for doc, _, component in got if doc} == set(want.items())
     assert {value for _, value, _ in got} == {plain_simhash(text) for _, text in rows}
     assert (None, plain_simhash("a b c d"), 7) in got and (None, plain_simhash("solo"), None) in got
-    assert sorted(r.doc_id or 0 for r in simhash.one_of_each(df).collect()) == [0, 0, 3, 7, 7, 8, 8]
+    # One of each group: of those without words, of the four words, of the two letters, and the row alone.
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(df).collect()) == [(0, "solo"), (3, ""), (7, "A b\tc  d"), (8, "é É")]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_of_each_goes_by_rows(spark):
+    a, b = "one text of some words", "quite another text with others"
+    rows = [(1, a), (5, a), (5, b), (9, b), (None, b), (None, "alone"), (None, "alone")]
+    df = spark.createDataFrame([(*row, "x", 7) for row in rows], "doc_id long, text string, row_key string, gone int")
+    found = simhash.one_of_each(df)
+    assert found.dtypes == df.dtypes
+    assert sorted((r.doc_id or 0, r.text) for r in found.collect()) == [(0, "alone"), (1, a), (5, b)]
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
 def test_simhash_query_equals_brute_force(spark, small_dir):
     read = {r.doc_id: r.text for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
     values = {doc: plain_simhash(text) for doc, text in read.items()}
@@ -141,15 +166,15 @@ def plain_matches(rows, items, window):
         words, hit, ids = WORD.findall(lower(text)), set(), set()
         for item, passage in items:
             other = WORD.findall(lower(passage))
-            if item is None or not other:
+            if not other:
                 continue
             for start in range(max(1, len(other) - window + 1)):
                 part = other[start : start + window]
                 for place in range(len(words) - len(part) + 1):
                     if words[place : place + len(part)] == part:
                         hit.update(range(place, place + len(part)))
-                        ids.add(str(item))
-        found.append((doc, len(words), len(hit), sorted(ids)))
+                        ids.add(None if item is None else str(item))
+        found.append((doc, len(words), len(hit), sorted(ids, key=lambda item: (item is None, item or ""))))
     return sorted(found, key=repr)
 
 
@@ -173,6 +198,27 @@ def test_matches_equal_plain(spark, monkeypatch, most, block_bytes):
     assert {r.n_hit for r in decontaminate.matches(documents, benchmark.limit(0), window=4).collect()} == {0}
 
 
+def test_items_without_an_id_count(spark, tmp_path):
+    documents = [(1, "one two three four five six")]
+    items = [(None, "two three four"), ("b", "five"), (None, "never")]
+    spark.createDataFrame(documents, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    row = op2_benchmark_decontamination(spark, str(tmp_path)).first()
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = connection.sql(STATEMENTS["op2_benchmark_decontamination"])
+    assert dict(zip(found.columns, found.fetchall()[0])) == row.asDict()
+    assert (row.n_hit, row.n_items, row.items_sha256) == (4, 2, hashlib.sha256(b"b").hexdigest())
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    rows = [(1, "some words of the test item here"), (1, "clean"), (None, "some words of the test item here"), (None, "clean too"), (2, None)]
+    df = spark.createDataFrame([(*row, "x") for row in rows], "doc_id long, text string, row_key string")
+    found = decontaminate.without_matches(df, spark.createDataFrame([("i", "words of the test item")], "item_id string, text string"))
+    assert found.dtypes == df.dtypes and sorted((r.doc_id or 0, r.text or "") for r in found.collect()) == [(0, "clean too"), (1, "clean"), (2, "")]
+
+
 def test_rows_of_one_item_spread_over_passes(spark, monkeypatch):
     asked = []
 
@@ -218,6 +264,11 @@ def test_toxicity_finds_held_out_documents(spark, small_dir):
     assert sum(row.predicted for row in held if not truth[row.doc_id]) <= 1
 
 
+def scored(spark, model, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.toxicity for r in toxicity.toxicity(rows, model).orderBy("i").collect()]
+
+
 def test_toxicity_of_odd_rows(spark):
     rng = random.Random(4)
     pool = [f"w{i}" for i in range(60)]
@@ -226,17 +277,25 @@ def test_toxicity_of_odd_rows(spark):
     rows += [(i, "copied words of one page") for i in range(400, 600)]
     labels = [(i, int(i % 4 == 0 and i < 400)) for i in range(600)] + [(0, None), (9999, 1), (None, 1), (4, 1)]
     odd = [(1000, None), (1001, ""), (1001, ""), (None, "rotten " * 5000), (1002, "—"), (1003, "unseen rotten words")]
-    documents = spark.createDataFrame([(*row, "x") for row in rows + odd], "doc_id long, text string, Toxicity string")
+    documents = spark.createDataFrame([(*row, "x", 1, 2) for row in rows + odd], "doc_id long, text string, Toxicity string, text_key int, difference int")
     model = toxicity.fit(documents, spark.createDataFrame(labels, "doc_id long, toxic int"))
     found = toxicity.toxicity(documents, model)
-    assert found.columns == ["doc_id", "text", "toxicity"]
+    assert found.columns == ["doc_id", "text", "text_key", "difference", "toxicity"]
+    assert found.count() == len(rows + odd)
     scores = {(r.doc_id, (r.text or "")[:9]): r.toxicity for r in found.collect()}
     assert scores[1000, ""] == scores[1001, ""] == scores[1002, "—"]
     assert scores[None, "rotten ro"] >= scores[1003, "unseen ro"] > 0.7 > scores[1000, ""]
     assert all(r.toxicity > 0.7 for r in found.filter("text LIKE '%rotten%'").collect())
     assert all(r.toxicity == scores[1000, ""] for r in found.filter("text LIKE 'copied%'").collect())
+    want = plain_toxicity.scores(rows + odd, labels, [r.text for r in found.collect()])
+    assert max(abs(r.toxicity - w) for r, w in zip(found.collect(), want)) < 1e-6
+    kept = toxicity.without_toxic(documents, model)
+    assert kept.dtypes == documents.dtypes and kept.count() == found.filter("toxicity < 0.7").count()
+    # A low threshold drops texts that say nothing.
+    assert toxicity.without_toxic(documents, model, threshold=1e-9).count() == found.filter("toxicity < 1e-9").count()
     none = toxicity.fit(documents, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.toxicity for r in toxicity.toxicity(documents, none).collect()} == {0.5}
+    assert toxicity.without_toxic(documents, none).count() == documents.count()
     assert toxicity.toxicity(documents.limit(0), model).count() == 0
 
 
@@ -270,16 +329,35 @@ def test_toxicity_counts_both_folds_that_may_be_learnt_from(spark):
         rows.append((i, " ".join([*rng.sample(pool, 20), insult, *rng.sample(pool, 5)])))
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200) if number(i) != 1], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
-    nothing, rotten, vile = map(model.score, [None, "a rotten thing", "a vile thing"])
+    nothing, rotten, vile = scored(spark, model, [None, "a rotten thing", "a vile thing"])
     assert rotten > nothing and vile > nothing
 
 
-def test_toxicity_keeps_every_expression_in_parts_of_any_size(spark, small_dir):
-    folder = small_dir.replace("sf0.001", "sf0.01")
-    documents, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
-    whole, parts = toxicity.fit(documents, labels), toxicity.fit(documents, labels, model_rows=3)
-    want = {r.doc_id: r.toxicity for r in toxicity.toxicity(documents, whole).collect()}
-    got = {r.doc_id: r.toxicity for r in toxicity.toxicity(documents, parts).collect()}
-    assert got.keys() == want.keys() and max(abs(got[doc] - want[doc]) for doc in want) < 1e-9
-    assert len(set(want.values())) > 1
-    assert len(parts.shared) > len(whole.shared) == 1
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_toxicity_equals_plain(spark, small_dir, monkeypatch, scale):
+    folder = small_dir.replace("sf0.001", scale)
+    monkeypatch.setattr(toxicity, "COUNTED_BYTES", 50_000)
+    documents = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    want = dict(zip((doc for doc, _ in documents), plain_toxicity.scores(documents, labels, [text for _, text in documents])))
+    got = {r.doc_id: r.score for r in op10_toxicity(spark, folder).collect()}
+    assert got.keys() == want.keys() and max(abs(got[doc] - want[doc]) for doc in want) < 1e-6
+
+
+@pytest.mark.parametrize("n", [0, 1, 3000, 70_000])
+def test_bitmaps_have_every_key(spark, tmp_path, n):
+    spark.range(n).select(F.xxhash64("id").alias("key")).write.parquet(f"{tmp_path}/keys")
+    bitmap = toxicity.Bitmap(spark.read.schema("key long").parquet(f"{tmp_path}/keys"))
+    keys = np.array([r.key for r in spark.read.schema("key long").parquet(f"{tmp_path}/keys").collect()], np.int64)
+    assert bitmap.may_have(keys).all() and (1 << bitmap.bits) >= 16 * n
+    others = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 20_000)
+    assert bitmap.may_have(others).mean() < 0.1
+
+
+def test_rows_that_no_key_asks_for_are_left_out(spark, tmp_path):
+    spark.range(0, 9000, 3).select(F.concat(F.lit("k"), "id").alias("id")).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.schema("id string").parquet(f"{tmp_path}/keys")
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("of"), F.lit("t").alias("text"))
+    found = {r.of for r in toxicity.maybe_among(rows, "of", keys, "id").collect()}
+    assert {f"k{n}" for n in range(0, 9000, 3)} <= found and len(found) < 3000 + 0.1 * 17_000
+    assert toxicity.maybe_among(rows, "of", keys.limit(0), "id").count() == 0
