@@ -11,29 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_spark.llm import byte_bpe, decontaminate, line_dedup, simhash, toxicity
+from corpus_spark.llm.names import fresh, quoted
 from corpus_spark.llm.scratch import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below the threshold of the operator's query."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    scored = toxicity.toxicity(docs, model, score="__toxicity")
-    return scored.filter(F.col("__toxicity") < toxicity.THRESHOLD).drop("__toxicity")
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep; ``n_chars`` follows where it was set."""
-    found = line_dedup.dedup_lines(docs)
+    # Columns of the documents that are named as the operator's own step aside.
+    own = {name: fresh(docs, f"{name}_own") for name in docs.columns if name.lower() in ("kept_text", "n_lines", "n_dropped")}
+    found = line_dedup.dedup_lines(docs.withColumnsRenamed(own))
     changed = F.col("n_dropped") > 0
-    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumns({
-        "n_chars": F.when(changed & F.col("n_chars").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars")),
-        "text": text,
-    }).select(*docs.columns)
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed & F.col("n_chars").isNotNull(), F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*[new.get(name, quoted(own.get(name, name))).alias(name) for name in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
+    """One document of each group of near copies: the one with the smallest id."""
     return simhash.one_of_each(docs)
 
 
