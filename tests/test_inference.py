@@ -105,6 +105,33 @@ def test_hints_equal_plain(spark, max_share, min_meanings):
     assert lexicon.with_hints(df.limit(0), spark.createDataFrame(entries, "form string, meaning string"), "id").count() == 0
 
 
+def test_hints_of_repeated_keys_equal_plain(spark):
+    rng = random.Random(5)
+    pool = ["ki", "the", "x", "šu", "a\x01", "a"]
+    rows = [(key, "  ".join(rng.choice(pool) for _ in range(rng.randrange(12)))) for key in (1, 1, 1, 2, 3, 3, None)] + [(2, "\u2003the\tthe\n"), (3, None)]
+    entries = [(form, meaning) for form in ("ki", "a", "a\x01", "the") for meaning in ("2", "10", form)]
+    texts, known = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame(entries, "form string, meaning string")
+    found = lexicon.with_hints(texts, known, "id")
+    assert sorted(((r.id, r.hints) for r in found.collect()), key=repr) == sorted(((key, hint) for (key, _), hint in zip(rows, plain_hints(rows, entries, 0.01, 2))), key=repr)
+    for row in lexicon.hints(texts, known, "id").collect():
+        assert [each.place for each in row.hints] == sorted(each.place for each in row.hints)
+        assert all(each.meanings == sorted(["2", "10", each.form]) for each in row.hints)
+
+
+def test_hints_shuffle_neither_meanings_nor_other_words(spark):
+    texts = spark.createDataFrame([(i, f"the ki other{i}") for i in range(20)], "id int, text string")
+    known = spark.createDataFrame([("the", str(i)) for i in range(50)], "form string, meaning string")
+
+    def under_exchanges(df):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        return [lines[place + 1 :] for place, line in enumerate(lines) if "Exchange hashpartitioning(key" in line]
+
+    shuffled = under_exchanges(lexicon.with_hints(texts, known, "id"))
+    assert shuffled and not any("meanings" in below[0] for below in shuffled)
+    places = under_exchanges(lexicon.first_places(texts, "id", among=known))
+    assert len(places) == 1 and any("LeftSemi" in line for line in places[0])
+
+
 # Fuzzy names
 
 
