@@ -6,10 +6,12 @@ tokens, orders 1 to 4, exponential smoothing, case kept, one reference.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_spark.functions.ngrams import word_ngram_counts
+from corpus_spark.functions.ngrams import substitute, word_ngram_counts
 from corpus_spark.functions.text import BLANKS, squeeze
 
 MAX_ORDER = 4
@@ -26,23 +28,36 @@ SPLIT_RULES = (
 )
 
 
-def tokenize_13a(text: Column) -> Column:
-    """13a tokens joined by single spaces; null gives no token."""
+def _unescaped(text: Column) -> Column:
+    """The text before the split rules, without blanks at its end; null is empty."""
     value = F.rtrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     value = F.replace(value, F.lit("<skipped>"), F.lit(""))
     value = F.replace(value, F.lit("-\n"), F.lit(""))
     value = F.replace(value, F.lit("\n"), F.lit(" "))
     for entity, char in UNESCAPE:
         value = F.replace(value, F.lit(entity), F.lit(char))
-    value = F.concat(F.lit(" "), value, F.lit(" "))
+    return value
+
+
+def tokenize_13a(text: Column) -> Column:
+    """13a tokens joined by single spaces; null gives no token."""
+    value = F.concat(F.lit(" "), _unescaped(text), F.lit(" "))
     for pattern, replacement in SPLIT_RULES:
         value = F.regexp_replace(value, pattern, replacement)
     return squeeze(value)
 
 
+def _split(texts: pa.Array) -> pa.Array:
+    return substitute(pc.binary_join_element_wise("", texts, "", " "), SPLIT_RULES)
+
+
 def bleu_counts(hyp: Column, ref: Column) -> Column:
-    """Flat ``[hyp, ref, match]`` per order 1..4; order 1 also holds the token counts."""
-    return word_ngram_counts(tokenize_13a(hyp), tokenize_13a(ref), MAX_ORDER)
+    """Flat ``[hyp, ref, match]`` per order 1..4; order 1 also holds the token counts.
+
+    The tokens are those of ``tokenize_13a``. No rule looks at two blanks, so blanks are squeezed before the rules, which
+    then run beside the counting.
+    """
+    return word_ngram_counts(squeeze(_unescaped(hyp)), squeeze(_unescaped(ref)), MAX_ORDER, _split)
 
 
 def bleu_score(total: list[str], correct: list[str], sys_len: str, ref_len: str) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpus_spark.functions.ngrams import char_ngram_counts, word_ngram_counts
-from corpus_spark.functions.text import drop_blanks, squeeze
+from corpus_spark.functions.ngrams import char_ngram_counts, substitute, word_ngram_counts
+from corpus_spark.functions.text import squeeze
 
 CHAR_ORDER = 6
 WORD_ORDER = 2
@@ -15,6 +17,12 @@ BETA = 2
 # ASCII punctuation as a regex class, one by one so that Java looks it up in a table.
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 
+# The same split with spaces around every word: first words that only start with punctuation, then those that end with it.
+WORD_RULES = (
+    (f" ({PUNCTUATION})([^ ]*[^ {PUNCTUATION[1:]}) ", " $1 $2 "),
+    (f" ([^ ]+)({PUNCTUATION}) ", " $1 $2 "),
+)
+
 
 def split_punctuation(text: Column) -> Column:
     """Words of two or more characters give up their last character if it is punctuation, else
@@ -29,17 +37,26 @@ def split_punctuation(text: Column) -> Column:
     return F.regexp_replace(value, f"({mark})(?<=[^ ]{mark})(?![^ ])", " $1")
 
 
+def _without_spaces(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring(texts, " ", "")
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """Words as ``split_punctuation`` has them. Each word gets spaces of its own, as a match takes them with it."""
+    texts = pc.binary_join_element_wise("", pc.replace_substring(texts, " ", "  "), "", " ")
+    return substitute(texts, WORD_RULES)
+
+
 def chrf_char_counts(hyp: Column, ref: Column) -> Column:
     """Flat ``[hyp, ref, match]`` per character order 1..6, blanks removed."""
     blank = F.lit("")
-    return char_ngram_counts(
-        drop_blanks(F.coalesce(hyp, blank)), drop_blanks(F.coalesce(ref, blank)), CHAR_ORDER
-    )
+    return char_ngram_counts(squeeze(F.coalesce(hyp, blank)), squeeze(F.coalesce(ref, blank)), CHAR_ORDER, _without_spaces)
 
 
 def chrf_word_counts(hyp: Column, ref: Column) -> Column:
     """Flat ``[hyp, ref, match]`` per word order 1..2."""
-    return word_ngram_counts(split_punctuation(hyp), split_punctuation(ref), WORD_ORDER)
+    blank = F.lit("")
+    return word_ngram_counts(squeeze(F.coalesce(hyp, blank)), squeeze(F.coalesce(ref, blank)), WORD_ORDER, _split)
 
 
 def chrf_score(hyp: list[str], ref: list[str], match: list[str]) -> Column:

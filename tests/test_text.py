@@ -4,11 +4,12 @@ import sys
 import time
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from plain import chrf_words, clean_source, collapse_repeats, postprocess, squeeze, tokens_13a
 from pyspark.sql import functions as F
 
-from corpus_spark.functions import bleu, chrf, generation, source_text, text, unicode
+from corpus_spark.functions import bleu, chrf, generation, ngrams, source_text, text, unicode
 
 CLEAN_CASES = {
     "[KÙ.BABBAR]": "KÙ.BABBAR",
@@ -183,6 +184,28 @@ def test_tokenize_13a(apply):
     assert apply(bleu.tokenize_13a, [None]) == [""]
 
 
+def test_counted_tokens_are_the_tokens(spark, apply):
+    """The rules run beside the counting give the tokens of the columns, on blanks, marks and characters of all lengths."""
+    values = noise(12, 3000, ["a", "5", "é", "\U0001f600", ".", ",", "..", "-", "-\n", "\n", " ", " \u2003", "\x1c", "\x85", "&amp;", "&lt;", "<skipped>", *"!\"#$%'()*+/:;=?@[\\]^_`{|}~"], 14)
+    for function, split, first in ((bleu.tokenize_13a, bleu._split, bleu._unescaped), (chrf.split_punctuation, chrf._split, lambda value: value)):
+        prepared = pa.array(apply(lambda value: text.squeeze(first(value)), values))
+        assert [value.split(" ") if value else [] for value in apply(function, values)] == [[word for word in value.split(" ") if word] for value in split(prepared).to_pylist()]
+
+
+def test_counting_reads_texts_with_few_patterns(spark):
+    """One pattern per text squeezes blanks; the split rules run beside the counting, and repeats are found without a back-reference."""
+    for column in (bleu.bleu_counts(F.lit("a"), F.lit("b")), chrf.chrf_char_counts(F.lit("a"), F.lit("b")), chrf.chrf_word_counts(F.lit("a"), F.lit("b"))):
+        assert column._jc.toString().count("regexp_replace") == 2
+    assert generation.collapse_repeats(F.lit("a"))._jc.toString().count("regexp_replace") == 1
+
+
+def test_collapse_repeats_of_nulls_and_many_chunks(apply, monkeypatch):
+    monkeypatch.setattr(ngrams, "_CHUNK_BYTES", 40)
+    values = ["x y z x y z", None, "", " ", None, "a b c d a b c d a b c d", "a b a b", "é ñ\tō  é ñ ō é ñ ō", None] * 20
+    assert apply(generation.collapse_repeats, values) == [None if value is None else " ".join(collapse_repeats(value.split())) for value in values]
+    assert apply(generation.collapse_repeats, [None]) == [None]
+
+
 def test_split_punctuation(apply):
     values = noise(7, 1500, [*"ab.,-'\"()$\\[]^ ", "é", "…"], 20) + ["(hi)", "a", ".", "..", "(a", ""]
     assert [value.split() for value in apply(chrf.split_punctuation, values)] == [chrf_words(value) for value in values]
