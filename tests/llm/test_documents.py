@@ -5,17 +5,20 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
 import plain_toxicity
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import check_queries
 from corpus_spark.llm import components, decontaminate, line_dedup, simhash, toxicity
+from corpus_spark.llm.arrow import map_arrow
 from corpus_spark.llm.queries import STATEMENTS, op2_benchmark_decontamination, op4_simhash_near_dedup, op10_toxicity
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -344,6 +347,22 @@ def test_toxicity_equals_plain(spark, small_dir, monkeypatch, scale):
     assert got.keys() == want.keys() and max(abs(got[doc] - want[doc]) for doc in want) < 1e-6
 
 
+def test_expressions_are_counted_with_the_words_of_one_document_in_memory(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.randrange(10**6):x}" for _ in range(350)) for _ in range(1000)]
+    runs = []
+    monkeypatch.setattr(toxicity, "map_arrow", lambda df, run, schema: runs.append(run) or map_arrow(df, run, schema))
+    toxicity.expression_counts(spark.createDataFrame([], "text string, toxic boolean, number int"))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * 1000), pa.array([0] * 1000, pa.int32())], ["text", "toxic", "number"])
+    tracemalloc.start()
+    try:
+        assert sum(found.num_rows for found in runs[0](iter([batch]))) > 350_000
+        # Keys take 38 MB here, the words and pairs of all documents took 121.
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("n", [0, 1, 3000, 70_000])
 def test_bitmaps_have_every_key(spark, tmp_path, n):
     spark.range(n).select(F.xxhash64("id").alias("key")).write.parquet(f"{tmp_path}/keys")
