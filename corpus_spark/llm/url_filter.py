@@ -116,7 +116,7 @@ def probabilities(counts: DataFrame, order: int) -> DataFrame:
         if found is None:
             shorter = {kind: 1 / F.col("letters") for kind in _KINDS}
         else:
-            own = own.withColumn("rest", F.right("gram", F.lit(size - 1))).join(found.hint("merge"), "rest")
+            own = own.withColumn("rest", F.right("gram", F.lit(size - 1))).join(found, "rest", "left")
             shorter = {kind: F.col(f"{kind}_p") for kind in _KINDS}
         p = {
             kind: F.when(F.col(f"{kind}_n") > 0, (F.col(kind) + F.col(f"{kind}_t") * shorter[kind]) / (F.col(f"{kind}_n") + F.col(f"{kind}_t")))
@@ -130,8 +130,9 @@ def scored_urls(urls: DataFrame, order: int) -> DataFrame:
     """(key, half_0, half_1): the score of each URL by the models of either half.
 
     The models grow with the URLs: every gram of every URL is a row. A gram that most URLs share is one
-    row of the models, and Spark splits its rows on the other side. Nothing is broadcast: a small file of URLs is many
-    grams, and a small file of grams a large table, which Spark would take for small.
+    row of the models, and Spark splits its rows on the other side. What Spark would take for as
+    small as the file it is made of (the grams of all URLs, the counts of a level) is on the left of left joins, which find
+    every row, so only models may be broadcast, by the size they have when they are made.
     """
     placed = urls.select("key", "half", "action", F.explode(grams(F.coalesce("url", F.lit("")), order)).alias("gram"))
     counts = placed.groupBy("gram").agg(*[
@@ -139,7 +140,7 @@ def scored_urls(urls: DataFrame, order: int) -> DataFrame:
     ])
     models = probabilities(written(counts, "url-grams"), order)
     ratios = models.select("gram", *[F.log(F.col(f"allow_{half}_p") / F.col(f"block_{half}_p")).alias(f"ratio_{half}") for half in (0, 1)])
-    scored = placed.select("key", "gram").join(ratios.hint("merge"), "gram").groupBy("key")
+    scored = placed.select("key", "gram").join(ratios, "gram", "left").groupBy("key")
     return scored.agg(*[F.round(F.avg(f"ratio_{half}"), DIGITS).alias(f"half_{half}") for half in (0, 1)])
 
 
